@@ -4,6 +4,8 @@ from importlib import import_module
 
 #: Query: module with query(spark, sf_dir) and perhaps SQL.
 MODULES = {
+    "op5_slack_packing": "packing",
+    "op10_byte_bpe": "byte_bpe",
     "op7_telephony_audio": "audio",
     "op6_rule_quality": "quality",
     "op8_exact_dedup": "exact_dedup",
