@@ -4,6 +4,7 @@ from importlib import import_module
 
 #: Query: module with query(spark, sf_dir) and perhaps SQL.
 MODULES = {
+    "op1_trie_scores": "ngram_lm",
     "op2_ngram_join": "ngram_join",
     "op5_slack_packing": "packing",
     "op10_byte_bpe": "byte_bpe",
