@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.runtime import read_table
+from lexispark.runtime import checkpointed, read_table, small_side
 
 from .text import ascii_lower
 
@@ -45,10 +45,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def keep_first_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of `df` that stay, with all their columns."""
+    """The rows of `df` that stay, with all their columns; rows without an id stay."""
     verdict = exact_dedup(df, id_col, text_col, keep)
-    gone = verdict.filter(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return df.join(gone, df[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = checkpointed(verdict.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct())
+    return df.join(small_side(gone), df[id_col] == F.col("__gone"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,5 +242,12 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df` whose id is the least of their component, with all their columns; rows without an id stay."""
+    classes = ngram_join(df, id_col, text_col)
+    gone = checkpointed(classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct())
+    return df.join(small_side(gone), df[id_col] == F.col("__gone"), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents"))

@@ -4,6 +4,8 @@ from importlib import import_module
 
 #: Query: module with query(spark, sf_dir) and perhaps SQL.
 MODULES = {
+    "op4_preference_pairs": "preferences",
+    "op9_license_scan": "licenses",
     "op1_trie_scores": "ngram_lm",
     "op2_ngram_join": "ngram_join",
     "op5_slack_packing": "packing",
