@@ -18,3 +18,6 @@ def register(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+from . import maintenance_queries, search_queries, text_queries, vector_queries  # noqa: E402, F401  registers all
