@@ -1,0 +1,82 @@
+"""Queries on latent-semantic vectors, axes, links and streams."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from lexispark.operators import index as I
+from lexispark.operators import vectors as V
+from lexispark.runtime import read_table
+
+from .catalog import register
+from .corpus import knowledge_files
+from .search_queries import TERMS
+
+#: Least cosine of links here; the embeddings are nearly orthogonal.
+LEAST = 0.3
+
+
+@register("lsi_terms")
+def lsi_terms(spark, sf_dir):
+    x = V.lsi_terms(I.build_index(knowledge_files(spark, sf_dir), keep=True))
+    return x.select("term", F.round("idf", 6).alias("idf"), F.size("vec").alias("dims"))
+
+
+@register("lsi_search")
+def lsi_search(spark, sf_dir):
+    index = I.build_index(knowledge_files(spark, sf_dir), keep=True)
+    terms = V.lsi_terms(index).cache()
+    q = V.query_vector(terms, TERMS)
+    chunks = V.chunk_vectors(index, terms)
+    hits = V.cosine_search(chunks, q) if q else chunks.withColumn("score", F.lit(0.0)).limit(0)
+    return hits.select("path", "chunk_id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "path", "chunk_id").limit(20)
+
+
+@register("pca3d")
+def pca3d(spark, sf_dir):
+    return V.principal_axes(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@register("vec_links")
+def vec_links(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    return V.link_graph(e, V.principal_axes(e, "vec_id", "embedding"), "vec_id", "embedding", least=LEAST)
+
+
+@register("stream_dedup", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
+def stream_dedup(spark, sf_dir):
+    """The events as a stream, without duplicates, counted in a table that the stream writes."""
+    from lexispark.streaming.corpus import without_duplicates
+
+    path = f"{sf_dir}/events.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    out = _folder(spark, "stream")
+    q = without_duplicates(source, "event_id", "ts").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    root = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+@register("stream_learn")
+def stream_learn(spark, sf_dir):
+    """A corpus of the identity files, then learnings by stream; the corpus as it is after them."""
+    from lexispark.streaming.corpus import Corpus, learn_stream
+
+    root = _folder(spark, "corpus")
+    docs = knowledge_files(spark, sf_dir).filter("path LIKE 'identity/%'")
+    corpus = Corpus(spark, f"{root}/versions")
+    corpus.publish(docs)
+    n = F.regexp_extract("path", r"doc-(\d+)\.md", 1).cast("long")
+    news = docs.select(n.alias("seq"), F.lit("identity").alias("category"), F.regexp_replace(F.expr("substring(path, instr(path, '/') + 1)"), r"\.md$", "").alias("topic"), F.array(F.lit("new")).alias("tags"), F.lit("A new line").alias("content"), F.lit("low").alias("confidence"), F.lit("append").alias("action"))
+    news.filter("seq % 4 = 0").write.parquet(f"{root}/news")
+    stream = spark.readStream.schema(news.schema).parquet(f"{root}/news")
+    learn_stream(stream, corpus, "2026-01-01", f"{root}/state").awaitTermination()
+    return corpus.current().docs.select("path", F.array_join("tags", ",").alias("tags"), F.octet_length("content").alias("bytes"))
