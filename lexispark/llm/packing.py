@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections import OrderedDict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,11 @@ WINDOW, END = 4096, 2
 #: Words whose ids a worker remembers; older ones are encoded again.
 MEMORY = 400_000
 _MARK = "`"
+#: Punctuation that ends a run of letters wherever it stands; an apostrophe may be part of a contraction.
+_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_{|}~"
+#: Byte-level BPE writes a byte as a character: printable ones as themselves, the others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class WordEncoder:
@@ -26,7 +34,9 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins pieces across it, so a
     text's ids are its words' ids in order. Unknown words are encoded many to
-    a call, apart by a mark; words that hold the mark are encoded alone.
+    a call, apart by a mark; words that hold the mark are encoded alone. A
+    word of letters and closing punctuation is two pieces to the tokenizer,
+    so the two are looked up apart, and letters go to its model directly.
     """
 
     def __init__(self, path: str):
@@ -43,7 +53,38 @@ class WordEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _letters(self, text: str) -> bytes | None:
+        """Ids of a run of letters straight from the model, which is what the whole chain comes to; None for any other text."""
+        if not text.isalpha() or not unicodedata.is_normalized("NFC", text):
+            return None
+        text = text.lower()
+        if not text.isascii():
+            if not text.isalpha() or "\u03c2" in text:  # lower case may add marks, and picks the last sigma by its place
+                return None
+            text = text.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+
     def _learn(self, words: list[bytes]) -> None:
+        parts, whole = {}, []
+        for w in words:
+            core = w.rstrip(_TAIL)
+            if core and len(core) < len(w) and core.decode("utf-8", "replace")[-1].isalpha():
+                parts[w] = core, w[len(core) :]
+            else:
+                whole.append(w)
+        new = dict.fromkeys(chain(whole, (x for both in parts.values() for x in both if x not in self.known)))
+        rest = []
+        for w in new:
+            ids = self._letters(w.decode("utf-8", "replace"))
+            if ids is None:
+                rest.append(w)
+            else:
+                self.known[w] = ids
+        self._learn_whole(rest)
+        for w, (core, tail) in parts.items():
+            self.known[w] = self.known[core] + self.known[tail]
+
+    def _learn_whole(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
         plain = [k for k, t in enumerate(texts) if _MARK not in t]
         for k in set(range(len(texts))) - set(plain):
