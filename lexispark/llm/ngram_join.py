@@ -190,6 +190,18 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCE
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def spare(a: str, b: str, percent: int) -> Column:
+    """Shared shingles that prefixes must hold beyond the level, by the sizes of two documents.
+
+    Similar sets share at least percent / (100 + percent) of their sizes' sum. What the prefixes of a
+    level don't share lies behind the prefix that ends first, where a set has percent of
+    its size less the level left; the prefixes must hold the rest.
+    """
+    both = -F.floor(-percent * (F.col(a) + F.col(b)) / (100 + percent) + 1e-9)
+    left = F.greatest(*(-F.floor(-percent * F.col(c) / 100 + 1e-9) for c in (a, b)))
+    return F.greatest(both - left, F.lit(0))
+
+
 def fitting(a: str, b: str, percent: int) -> Column:
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
@@ -234,7 +246,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     y = mixed.select("shingle", "main", *(F.col(c).alias(f"y_{c}") for c in ("id", "size", "level", "need", "group")))
     need = F.least("x_need", "y_need")
     meet = (F.col("x_group") != F.col("y_group")) & ((F.col("y_group") == F.col("main")) | (F.col("x_id") < F.col("y_id"))) & fitting("x_size", "y_size", percent) & (F.greatest("x_level", "y_level") <= need)
-    pairs = x.join(y, "shingle").filter(meet).groupBy(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(need).alias("need")).filter("k >= need").select("a", "b")
+    pairs = x.join(y, "shingle").filter(meet).groupBy(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(need + spare("x_size", "y_size", percent)).alias("need")).filter("k >= need").select("a", "b")
     second = verified(checkpointed(pairs), single, n, percent)
     final = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
 
