@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from lexispark.runtime import read_table
 
 from .text import slices
 
-#: Words whose ids and decoded bytes a worker remembers, and words to a recursive query.
-MEMORY, CHUNK = 300_000, 20_000
+#: Words whose ids and decoded bytes a worker remembers, words to a recursive query, and bytes above which a word goes alone.
+MEMORY, CHUNK, LONG = 400_000, 50_000, 1024
 
 #: Rows (word, step, pos, token) of a word lead to those of the next step, in
 #: which its leftmost pair of least rank is one token, until no pair is left.
@@ -23,16 +24,12 @@ CONTRACT = """
 WITH RECURSIVE steps AS (
   SELECT word, 0 AS step, pos, token FROM positions
   UNION ALL
-  SELECT word, step + 1, pos, CASE WHEN pos = best.pos THEN best.rank ELSE token END
-  FROM (
-    SELECT *, min({'rank': rank, 'pos': pos}) OVER (PARTITION BY word) AS best,
-           lag(pos) OVER (PARTITION BY word ORDER BY pos) AS previous
-    FROM (
-      SELECT s.word, s.step, s.pos, s.token, m.rank
-      FROM (SELECT *, lead(token) OVER (PARTITION BY word ORDER BY pos) AS following FROM steps) s
-      LEFT JOIN merges m ON m.first = s.token AND m.second = s.following)
-  )
-  WHERE best.rank IS NOT NULL AND previous IS DISTINCT FROM best.pos
+  (WITH pairs AS (
+    SELECT a.word, min((m.rank::BIGINT << 32) | a.pos) AS best
+    FROM steps a JOIN steps b ON b.word = a.word AND b.pos = a.pos + 1 JOIN merges m ON m.first = a.token AND m.second = b.token
+    GROUP BY a.word)
+  SELECT s.word, s.step + 1, s.pos - (s.pos > best & 4294967295)::INT, CASE WHEN s.pos = best & 4294967295 THEN (best >> 32)::INT ELSE s.token END
+  FROM steps s JOIN pairs p ON p.word = s.word WHERE s.pos <> (best & 4294967295) + 1)
 )
 """
 
@@ -82,16 +79,43 @@ class WordCoder:
             a, b = ends[k] - ends[0], ends[k + 1] - ends[0]
             self.known[words[w]] = flat[a:b].tobytes(), b"".join(bits[a:b])
 
+    def _solve_long(self, word: str) -> None:
+        """One long word, a table for each step instead of all steps' rows.
+
+        A step contracts every pair of least rank, from the left, if no pair of
+        that rank or less is new then or on the way; that is what contracting
+        the leftmost ones in turn comes to. Else it contracts the leftmost.
+        """
+        raw = np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8)
+        self._load("now", {"pos": np.arange(len(raw), dtype=np.int32), "token": self.single[raw]})
+        pairs = "FROM {0} a JOIN {0} b ON b.pos = a.pos + 1 JOIN merges m ON m.first = a.token AND m.second = b.token"
+        least = lambda t: self.db.execute(f"SELECT min(m.rank) {pairs.format(t)}").fetchall()[0][0]
+        while (rank := least("now")) is not None:
+            for one in (False, True):
+                self.db.execute(f"CREATE OR REPLACE TABLE hits AS SELECT a.pos {pairs.format('now')} WHERE m.rank = {rank}")
+                self.db.execute("CREATE OR REPLACE TABLE hits AS SELECT pos FROM (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS run FROM hits) QUALIFY (pos - min(pos) OVER (PARTITION BY run)) % 2 = 0" + " ORDER BY pos LIMIT 1" * one)
+                self.db.execute(f"""
+                    CREATE OR REPLACE TABLE after AS
+                    SELECT (row_number() OVER (ORDER BY n.pos) - 1)::INT AS pos, CASE WHEN h.pos IS NULL THEN token ELSE {rank} END AS token
+                    FROM now n LEFT JOIN hits h USING (pos) ANTI JOIN (SELECT pos + 1 AS pos FROM hits) g ON g.pos = n.pos""")
+                early = self.db.execute(f"SELECT count(*) FROM merges x JOIN merges y ON y.rank = {rank} AND x.first = {rank} AND x.second = y.first WHERE x.rank <= {rank}").fetchall()[0][0]
+                if one or not early and ((new := least("after")) is None or new > rank):
+                    break
+            self.db.execute("CREATE OR REPLACE TABLE now AS SELECT * FROM after")
+        coded = self.db.execute("SELECT token, bytes FROM now JOIN vocabulary USING (token) ORDER BY pos").fetchall()
+        self.known[word] = np.array([t for t, _ in coded], "<u4").tobytes(), b"".join(x for _, x in coded)
+
     def learn(self, words: set[str]) -> None:
-        new = sorted((w for w in words if w not in self.known), key=len)
-        at = 0
-        while at < len(new):  # long words go by few, as their steps grow with the square of their length
-            to, cost = at, 0
-            while to < len(new) and to - at < CHUNK and (to == at or cost + len(new[to]) ** 2 < 4_000_000):
-                cost += len(new[to]) ** 2
-                to += 1
-            self._solve(new[at:to])
-            at = to
+        new = sorted(w for w in words if w not in self.known)
+        short = [w for w in new if len(w) <= LONG // 4]
+        for at in range(0, len(short), CHUNK):
+            self._solve(short[at : at + CHUNK])
+        for w in new:
+            if len(w) > LONG // 4:  # in any script at most four bytes a character
+                if (r := self.ranks.get(w.encode("utf-8", "surrogatepass"))) is None:
+                    self._solve_long(w)
+                else:
+                    self._solve([w])
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -100,7 +124,8 @@ _CODERS: dict[str, WordCoder] = {}
 def worker_coder(path: str) -> WordCoder:
     coder = _CODERS.get(path) or _CODERS.setdefault(path, WordCoder(path))
     if len(coder.known) > MEMORY:
-        coder.known.clear()
+        for w in list(itertools.islice(coder.known, MEMORY // 2)):  # the oldest half
+            del coder.known[w]
     return coder
 
 
@@ -110,7 +135,7 @@ def bpe_columns(df: DataFrame, ranks: str | None = None, pattern: str = public_t
     Each match of the pattern is coded by itself, so a partition codes each
     distinct match once. Null and empty texts have no ids. Rows are
     independent: repeated rows repeat, no shuffle, memory bounded by slices of
-    2 MB or one text. Other columns are not read.
+    4 MB or one text. Other columns are not read.
     """
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -120,7 +145,7 @@ def bpe_columns(df: DataFrame, ranks: str | None = None, pattern: str = public_t
 
         find = regex.compile(pattern).findall
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 coder = worker_coder(path)
                 found = [find(t) for t in part.column(1).to_pylist()]
                 coder.learn(set().union(*found))
