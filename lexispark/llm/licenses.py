@@ -1,4 +1,4 @@
-"""License scans: TF-IDF cosine to templates, then the nearest directory's license. DataFrame functions only."""
+"""License scans: TF-IDF cosine and containment of templates, then the nearest directory's license. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -24,6 +24,62 @@ CUE = "(?i)licen[cs]e|redistribution"
 SPLIT = "[^a-z0-9]+"
 THRESHOLD = 0.6
 
+#: Patterns of the words by which a header, SPDX line or title names a license: in lower case, with one space between words.
+_GRANT = "(?:licensed|released|distributed|available|provided|published|redistribute it and or modify it) under (?:the )?(?:terms of )?(?:the )?"
+_GNU, _OF = "gnu {}general public license", "(?: as published by the free software foundation)?(?: either)? (?:version |v ?)"
+
+
+def _names(title: str, spdx: str, opening: str | None = None) -> str:
+    """A grant under a title, its SPDX line, or, if given, the words that open its text."""
+    return f"{_GRANT}(?:{title})|spdx license identifier (?:{spdx})" + (f"|{opening}" if opening else "")
+
+
+def _gnu(kind: str, short: str, version: str, date: str) -> str:
+    name, number = _GNU.format(kind), version.replace(".", " ")
+    return _names(f"{name}{_OF}{number}(?! [0-9] )|{short} ?v?{number}", f"{short} {number}", f"{name} version {number} {date}")
+
+
+FORMS = {
+    "AGPL-3.0": _gnu("affero ", "agpl", "3", "19 november 2007"),
+    "Apache-2.0": _names("apache license (?:version |v ?)?2 0|apache 2 0", "apache 2 0", "apache license version 2 0 january 2004"),
+    "BSD-2-Clause": _names("bsd 2 clause|2 clause bsd|simplified bsd", "bsd 2 clause", "bsd 2 clause license copyright"),
+    "BSD-3-Clause": _names("bsd 3 clause|3 clause bsd|(?:new|modified) bsd", "bsd 3 clause", "bsd 3 clause license copyright"),
+    "CC-BY-3.0": _names("(?:a )?creative commons attribution 3 0|cc by 3 0", "cc by 3 0"),
+    "CC-BY-4.0": _names("(?:a )?creative commons attribution 4 0|cc by 4 0", "cc by 4 0", "creative commons attribution 4 0 international public license"),
+    "CC-BY-NC-4.0": _names("(?:a )?creative commons attribution non ?commercial 4 0|cc by nc 4 0", "cc by nc 4 0", "creative commons attribution noncommercial 4 0 international public license"),
+    "CC-BY-SA-4.0": _names("(?:a )?creative commons attribution share ?alike 4 0|cc by sa 4 0", "cc by sa 4 0", "creative commons attribution sharealike 4 0 international public license"),
+    "CC0-1.0": _names("cc0|creative commons zero", "cc0 1 0", "cc0 1 0 universal"),
+    "GPL-2.0": _gnu("", "gpl", "2", "june 1991"),
+    "GPL-3.0": _gnu("", "gpl", "3", "29 june 2007"),
+    "ISC": _names("isc license", "isc", "isc license copyright"),
+    "LGPL-2.1": _gnu("lesser ", "lgpl", "2.1", "february 1999"),
+    "LGPL-3.0": _gnu("lesser ", "lgpl", "3", "29 june 2007"),
+    "MIT": _names("mit license", "mit", "mit license copyright"),
+    "MPL-1.1": _names("mozilla public license (?:version |v )?1 1", "mpl 1 1", "subject to the mozilla public license version 1 1"),
+    "MPL-2.0": _names("mozilla public license (?:version |v )?2 0", "mpl 2 0", "subject to the terms of the mozilla public license (?:version |v )2 0|mozilla public license version 2 0 1 definitions"),
+    "Unlicense": _names("the unlicense|unlicense", "unlicense", "this is free and unencumbered software released into the public domain"),
+}
+#: No license, but a claim: it counts where no license is named.
+RESERVED, RESERVED_FORM = "All-Rights-Reserved", "all rights reserved"
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+notice shall be included in all copies or substantial portions of the Software."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies."""
+#: License texts, of which a window must hold the words named first and most of the rest. BSD's third clause makes the difference.
+_CLAUSE = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"
+TEXTS = {"BSD-2-Clause": ("redistribution binary", _BSD), "BSD-3-Clause": ("redistribution neither endorse", _BSD + _CLAUSE), "ISC": ("permission fee", _ISC), "MIT": ("hereby sublicense", _MIT)}
+NAMES = sorted({*FORMS, *TEMPLATES, *TEXTS, RESERVED})
+#: Least share of a license text's weight in a window; a text that holds none of these words has no template's.
+CONTAINED = 0.8
+WIDE_CUE = CUE + "|rights[^a-z0-9]+reserved|permission[^a-z0-9]+(?:is|to)|public[^a-z0-9]+domain|creative[^a-z0-9]+commons|cc0"
+
 
 def _terms(text: str) -> list[str]:
     out = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower())
@@ -56,16 +112,64 @@ def line_match(line: Column) -> Column:
 
     def cosine(k: str) -> Column:
         dot = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.element_at(vectors[k], x["t"]), F.lit(0.0)))
-        return F.struct(F.round(F.when(norm > 0, dot / norm).otherwise(F.lit(0.0)), 6).alias("score"), F.lit(-sorted(TEMPLATES).index(k)).alias("order"), F.lit(k).alias("license"))
+        return F.struct(F.round(F.when(norm > 0, dot / norm).otherwise(F.lit(0.0)), 6).alias("score"), F.lit(-NAMES.index(k)).alias("order"), F.lit(k).alias("license"))
 
     return F.array_max(F.array(*map(cosine, TEMPLATES)))
 
 
+def _let(x: Column, then) -> Column:
+    """`then` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
+def _match(score: Column, k: str) -> Column:
+    """A match as `line_match` gives it."""
+    return F.struct(score.alias("score"), F.lit(-NAMES.index(k)).alias("order"), F.lit(k).alias("license"))
+
+
+def text_score(tokens: Column, k: str) -> Column:
+    """Largest share of a license text's weight in windows that overlap by half and are twice its length."""
+    must, body = TEXTS[k]
+    terms, need, n = sorted(set(_terms(body))), F.array(*map(F.lit, must.split())), len(_terms(body))
+    idf = F.create_map(*(F.lit(x) for t in terms for x in (t, IDF.get(t, RARE))))
+    total = sum(IDF.get(t, RARE) for t in terms)
+    words = F.array(*map(F.lit, terms))
+
+    def share(i: Column) -> Column:
+        found = F.array_intersect(F.slice(tokens, i * n + 1, 2 * n), words)
+        weight = F.aggregate(found, F.lit(0.0), lambda a, t: a + F.element_at(idf, t))
+        return F.when(F.size(F.array_except(need, found)) == 0, F.round(weight / total, 6)).otherwise(F.lit(0.0))
+
+    windows = F.sequence(F.lit(0), F.floor(F.size(tokens) / n).cast("int"))
+    return F.when(F.size(F.array_except(need, tokens)) == 0, F.array_max(F.transform(windows, share))).otherwise(F.lit(0.0))
+
+
 def own_license(text: Column, threshold: float = THRESHOLD) -> Column:
-    """Struct (score, order, license) of the best line of the whole text that has a cue and reaches the threshold; else null."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE))
-    best = F.array_max(F.filter(F.transform(lines, line_match), lambda m: m["score"] >= threshold))
-    return F.when(text.rlike(CUE), best)
+    """Struct (named, score, order, license) of the best match in the whole text; else null.
+
+    A match is a line that has a cue and whose cosine to a template reaches
+    the threshold, a form of a name in consecutive words, whatever lies between them or
+    on which lines they are (score 1), or a window that holds most of a
+    license text. A claim of all rights counts only where no license is named.
+    """
+    nothing = F.lit(None).cast("struct<score:double,order:int,license:string>")
+
+    def windows(tokens: Column) -> Column:
+        scores = F.array(*(_match(text_score(tokens, k), k) for k in TEXTS))
+        # a text that holds a shorter one's whole is the longer one
+        three = F.exists(scores, lambda m: (m["license"] == "BSD-3-Clause") & (m["score"] >= CONTAINED))
+        return F.filter(scores, lambda m: (m["score"] >= CONTAINED) & ~((m["license"] == "BSD-2-Clause") & three))
+
+    def best(flat: Column) -> Column:
+        lines = F.filter(F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE)), line_match), lambda m: m["score"] >= threshold)
+        forms = F.array(*(F.when(flat.rlike(f" (?:{form}) "), _match(F.lit(1.0), k)).otherwise(nothing) for k, form in FORMS.items()))
+        found = F.concat(lines, F.filter(forms, lambda m: m.isNotNull()), _let(F.filter(F.split(flat, " "), lambda t: t != ""), windows))
+        claim = F.when(flat.rlike(f" {RESERVED_FORM} "), F.struct(F.lit(0).alias("named"), F.lit(1.0).alias("score"), F.lit(-NAMES.index(RESERVED)).alias("order"), F.lit(RESERVED).alias("license")))
+        named = F.transform(found, lambda m: F.struct(F.lit(1).alias("named"), m["score"].alias("score"), m["order"].alias("order"), m["license"].alias("license")))
+        return F.coalesce(F.array_max(named), claim)
+
+    flat = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), SPLIT, " "), F.lit(" "))
+    return F.when(text.rlike(WIDE_CUE), _let(flat, best))
 
 
 def ancestors(path: Column) -> Column:
@@ -77,9 +181,9 @@ def ancestors(path: Column) -> Column:
 def scan_licenses(df: DataFrame, path: Column, is_licence_file: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, path, license, score, origin ("own", "inherited" or "none"), from_dir.
 
-    A file's own license is that of its best line. A directory's license is
-    that of the licence file directly in it (of several, the one with the
-    highest score, then the first license by name). Other files take that of
+    A file's own license is that of its best match. A directory's license is
+    that of the licence file directly in it (of several, one that names a
+    license, then the highest score, then the first license by name). Other files take that of
     the nearest directory above them. Directories that have a license join
     the ancestors of files; a hot directory's rows may be split by Spark, and the aggregations
     combine before the shuffle. Null texts and paths are empty; ids and rows

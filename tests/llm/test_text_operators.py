@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -253,3 +254,19 @@ def test_licenses(spark, docs, empty):
     assert got["a/x/f.py"] == ("Apache-2.0", "inherited", "a") and got["a/x/y/g.py"] == ("MIT", "own", None) and got["b/h.py"] == (None, "none", None) and got["a/z/q/i.py"] == ("CC-BY-NC-4.0", "inherited", "a/z")
     assert got["a/x/LICENSE"] == ("Apache-2.0", "inherited", "a") and len(got) == len(rows)
     assert licenses.scan_licenses(empty, F.lit(None).cast("string"), F.lit(None).cast("boolean")).count() == 0
+
+
+def test_license_forms_and_texts(spark):
+    """What no single line with a cue tells at the threshold."""
+    flow = lambda t, mark: textwrap.fill(" ".join(t.split()), 60, initial_indent=mark, subsequent_indent=mark)
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    expected = {
+        "All rights reserved.": "All-Rights-Reserved", "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", apache: "Apache-2.0", flow(apache, " * "): "Apache-2.0",
+        "Released under the MIT License. Copyright (c) 2020 Some Body and others, who keep what is theirs": "MIT", "Copyright 2020 X. All rights reserved.\nReleased under the MIT License.": "MIT",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "under the terms of the GNU\n# Lesser General Public License": None, "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1",
+        flow(licenses._MIT, "# "): "MIT", flow(licenses._BSD, "// "): "BSD-2-Clause", flow(licenses._BSD + licenses._CLAUSE, ""): "BSD-3-Clause", "word " * 3000 + licenses._ISC: "ISC",
+        "released under another license": None, "we have rights, all of them reserved": None,
+    }
+    df = spark.createDataFrame([(k, str(k), t) for k, t in enumerate(expected)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(df, F.col("path"), F.lit(False)).collect()}
+    assert [got[k] for k in range(len(expected))] == list(expected.values())
