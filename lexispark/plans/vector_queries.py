@@ -67,16 +67,22 @@ def _folder(spark, name: str) -> str:
 
 @register("stream_learn")
 def stream_learn(spark, sf_dir):
-    """A corpus of the identity files, then learnings by stream; the corpus as it is after them."""
+    """A corpus of all files, then a learning for each by stream; the corpus as it is after them."""
     from lexispark.streaming.corpus import Corpus, learn_stream
 
     root = _folder(spark, "corpus")
-    docs = knowledge_files(spark, sf_dir).filter("path LIKE 'identity/%'")
+    docs = knowledge_files(spark, sf_dir)
     corpus = Corpus(spark, f"{root}/versions")
     corpus.publish(docs)
-    n = F.regexp_extract("path", r"doc-(\d+)\.md", 1).cast("long")
-    news = docs.select(n.alias("seq"), F.lit("identity").alias("category"), F.regexp_replace(F.expr("substring(path, instr(path, '/') + 1)"), r"\.md$", "").alias("topic"), F.array(F.lit("new")).alias("tags"), F.lit("A new line").alias("content"), F.lit("low").alias("confidence"), F.lit("append").alias("action"))
-    news.filter("seq % 4 = 0").write.parquet(f"{root}/news")
+    news = learnings_of(docs)
+    news.write.parquet(f"{root}/news")
     stream = spark.readStream.schema(news.schema).parquet(f"{root}/news")
     learn_stream(stream, corpus, "2026-01-01", f"{root}/state").awaitTermination()
     return corpus.current().docs.select("path", F.array_join("tags", ",").alias("tags"), F.octet_length("content").alias("bytes"))
+
+
+def learnings_of(docs):
+    """A learning for each file, which adds a line to it."""
+    n = F.regexp_extract("path", r"doc-(\d+)\.md", 1).cast("long")
+    topic = F.regexp_replace(F.expr("substring(path, instr(path, '/') + 1)"), r"\.md$", "")
+    return docs.select(n.alias("seq"), F.split("path", "/")[0].alias("category"), topic.alias("topic"), F.array(F.lit("new")).alias("tags"), F.lit("A new line").alias("content"), F.lit("low").alias("confidence"), F.lit("append").alias("action"))

@@ -8,6 +8,7 @@ from lexispark.operators import index as I
 from lexispark.operators import maintenance as M
 from lexispark.operators import search as R
 from lexispark.operators.components import connected_components
+from lexispark.plans import vector_queries as VQ
 from lexispark.sources import exports as X
 from lexispark.sources import files as Z
 
@@ -138,3 +139,12 @@ def test_exports(spark):
     assert [tuple(m) for m in got["messages"]] == [("user", "q r"), ("assistant", "yes")]
     with pytest.raises(Exception):  # noqa: B017
         X.flat_export(spark.createDataFrame([("{oops",)], "value string")).collect()
+
+
+def test_stream_learn_takes_all_files(spark):
+    """The stream ends with the corpus that learn() makes of all files and all learnings at once."""
+    sf = "/root/testdata/sf0.001"
+    docs = VQ.knowledge_files(spark, sf)
+    batch = M.learn(docs, VQ.learnings_of(docs), "2026-01-01").select("path", F.array_join("tags", ",").alias("tags"), F.octet_length("content").alias("bytes"))
+    got = sorted(map(tuple, VQ.stream_learn(spark, sf).collect()))
+    assert got == sorted(map(tuple, batch.collect())) and len(got) == docs.count() and all(r[1].endswith(",new") for r in got)
