@@ -19,7 +19,7 @@ from .text import slices, word_hashes, words
 
 #: The end of a text as a token (an empty word, which no text holds).
 END = b""
-#: Absolute discount; n-grams of two and three words that occur less often are left to shorter ones.
+#: Absolute discount; where nothing else is asked for, n-grams of two and three words that occur less often are left to shorter ones.
 DISCOUNT, LEAST = 0.6, 2
 #: Tokens that a task counts before it passes the counts on; most shards.
 FLUSH, MOST_SHARDS = 2 << 20, 2048
@@ -275,8 +275,8 @@ def learn_words(texts: DataFrame, root: str, shards: int) -> dict:
     return {"base": [0, *np.cumsum([x[0] for x in sizes]).tolist()], "types": sum(x[0] for x in sizes), "tokens": sum(x[1] for x in sizes)}
 
 
-def learn_pairs(ids: DataFrame, root: str, facts: dict) -> dict:
-    """Pairs that occur LEAST times: keys, smoothed probabilities, and what each first word leaves to single words."""
+def learn_pairs(ids: DataFrame, root: str, facts: dict, least: int = LEAST) -> dict:
+    """Pairs that occur `least` times: keys, smoothed probabilities, and what each first word leaves to single words."""
     shards = len(facts["base"]) - 1
 
     def count(batches):
@@ -291,7 +291,7 @@ def learn_pairs(ids: DataFrame, root: str, facts: dict) -> dict:
 
     def build(s, keys, counts):
         trie = worker_trie(root, facts)
-        keys, counts = keys[counts >= LEAST], counts[counts >= LEAST]
+        keys, counts = keys[counts >= least], counts[counts >= least]
         n, base = int(trie.base[s + 1] - trie.base[s]), int(trie.base[s])
         own = keys - np.uint64(base * trie.types)
         first, second = (own // np.uint64(max(1, trie.types))).astype(np.int64), (keys % np.uint64(max(1, trie.types))).astype(np.int64)
@@ -313,8 +313,8 @@ def learn_pairs(ids: DataFrame, root: str, facts: dict) -> dict:
     return {**facts, "nodes": [0, *np.cumsum([x[0] for x in sizes]).tolist()], "width": max(x[1] for x in sizes) + 1}
 
 
-def learn_triples(ids: DataFrame, root: str, facts: dict) -> dict:
-    """Triples that occur LEAST times; both of their pairs then do, so only such triples are counted.
+def learn_triples(ids: DataFrame, root: str, facts: dict, least: int = LEAST) -> dict:
+    """Triples that occur `least` times; both of their pairs then do, so only such triples are counted.
 
     The third word is held as its place among the successors of the second.
     """
@@ -333,7 +333,7 @@ def learn_triples(ids: DataFrame, root: str, facts: dict) -> dict:
 
     def build(s, keys, counts):
         trie = worker_trie(root, facts)
-        keys, counts = keys[counts >= LEAST], counts[counts >= LEAST]
+        keys, counts = keys[counts >= least], counts[counts >= least]
         n = int(trie.nodes[s + 1] - trie.nodes[s])
         own = keys - np.uint64(int(trie.nodes[s]) * trie.width)
         parent, place = (own // np.uint64(trie.width)).astype(np.int64), (own % np.uint64(trie.width)).astype(np.int64)
@@ -407,13 +407,13 @@ def log_probabilities(flat: np.ndarray, start: np.ndarray, trie: Trie) -> np.nda
     return out
 
 
-def score_texts(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One row per input row: id, learned, n_tokens, n_known, train_tokens, base_score, score.
 
     `learn` is a condition on `df`: its rows train the model. Tokens are words
     (A-Z lowered) and an end for each text. base_score adds up log10 of
     (count+1)/(tokens+types+1); score is by the trie: interpolated absolute
-    discounting over pairs and triples that occur twice or more, 8-bit values.
+    discounting over pairs and triples that occur `least` times or more (1 keeps all), 8-bit values.
 
     Training passes: words are counted and numbered; all texts become numbers
     (a table in the checkpoint folder); pairs, then triples, are counted. Each
@@ -447,8 +447,8 @@ def score_texts(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
     rows.mapInArrow(number, "id long, learned boolean, ids binary").write.parquet(path)
     ids = spark.read.schema("id long, learned boolean, ids binary").parquet(path)
     known = ids.filter("learned").select("ids")
-    pairs = learn_pairs(known, root, first) if facts["types"] else facts
-    model = learn_triples(known, root, pairs) if facts["types"] else facts
+    pairs = learn_pairs(known, root, first, least) if facts["types"] else facts
+    model = learn_triples(known, root, pairs, least) if facts["types"] else facts
 
     def score(batches):
         trie = worker_trie(root, model)
@@ -470,5 +470,5 @@ def score_texts(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.crc32(F.col("doc_id").cast("string")) % 7
-    scored = score_texts(read_table(spark, sf_dir, "documents"), part != 2)
+    scored = score_texts(read_table(spark, sf_dir, "documents"), part != 2, least=1)
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

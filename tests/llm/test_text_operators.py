@@ -270,3 +270,16 @@ def test_license_forms_and_texts(spark):
     df = spark.createDataFrame([(k, str(k), t) for k, t in enumerate(expected)], "doc_id long, path string, text string")
     got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(df, F.col("path"), F.lit(False)).collect()}
     assert [got[k] for k in range(len(expected))] == list(expected.values())
+
+
+def test_trie_keeps_single_ngrams(spark):
+    """A passage of exactly one training text is scored by its pairs and triples."""
+    df = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, "a b c")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ngram_lm.score_texts(df, F.col("doc_id") < 3, least=1).collect()}
+    d, one = ngram_lm.DISCOUNT, lambda n: (n + 1) / (7 + 6 + 1)  # words and ends: a b c d e once, the end twice
+    start = (1 - d) / 2 + (1 - 2 * (1 - d) / 2) * one(1)  # of the two pairs that an end begins
+    pair = lambda w: 1 - d + d * one(w)
+    triple = lambda p: 1 - d + d * p
+    want = np.log10(start) + np.log10(triple(pair(1))) * 2 + np.log10(triple(pair(2)))
+    assert got[3]["score"] == pytest.approx(want, abs=0.05) and got[3]["score"] > got[3]["base_score"] + 1
+    assert got[3]["score"] > ngram_lm.score_texts(df, F.col("doc_id") < 3).filter("doc_id = 3").first()["score"] + 0.5
