@@ -35,7 +35,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the texts' token ids with their places in sequences of 4096."""
-    return pack(docs)
+    return pack(docs, with_ids=True)
 
 
 STAGES = [("quality", quality), ("exact_copies", exact_copies), ("near_copies", near_copies), ("secrets", secrets), ("packing", packing)]

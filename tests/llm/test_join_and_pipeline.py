@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,9 @@ def test_registry():
     names = entry.queries()
     assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in registry.queries()} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_pipeline_gives_token_ids(spark):
+    docs = spark.createDataFrame([(1, "one text"), (2, "another, longer text of words"), (3, None)], "doc_id long, text string")
+    got = corpus_pipeline.packing(spark, docs, "").collect()
+    assert len(got) == 3 and all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in got)
