@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.operators.components import connected_components
-from lexispark.runtime import checkpointed, read_table, small_side
+from lexispark.runtime import BROADCAST_ROWS, checkpointed, read_table, small_side
 
 from .text import mix, slices, word_hashes, words
 
@@ -19,6 +19,8 @@ N, PERCENT = 5, 75
 LEVELS, FREQUENT = 4, 200_000
 #: Shingles between two tallies of repeats in a partition.
 TALLY = 1 << 21
+#: Rows of a list from which its documents get a reference; pairs that share one copy of a text.
+HOT, SHARE = 16, 4096
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB)]
 
 
@@ -168,58 +170,146 @@ def shared_postings(postings: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "shingle long, id long, size int, level tinyint, need tinyint, head long, head_size int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have that Jaccard similarity, in integers."""
-    ids = checkpointed(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    texts = docs.join(small_side(ids), "id", "left_semi")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def compared(pairs: DataFrame, docs: DataFrame, n: int = N, rest: bool = False) -> DataFrame:
+    """(a, b, size_a, size_b, common) by the whole shingle sets of each pair; with `rest` also b's shingles that a lacks.
+
+    A text travels once for each pair that has it as b, and as a once for
+    `SHARE` pairs: those of one a are dealt out, each share sorted behind a's own
+    row, so a task holds one set at a time however many pairs an a has.
+    """
+    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+    dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share"))
+    heads = shares.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    wanted = checkpointed(dealt.unionByName(heads).withColumn("id", F.coalesce("b", "a")))
+    rows = docs.join(small_side(wanted, BROADCAST_ROWS // 2), "id").select("a", "share", "b", "text")
+    rows = rows.repartition("a", "share").sortWithinPartitions("a", "share", F.asc_nulls_first("b"))
+    names = ["a", "b", "size_a", "size_b", "common", *["rest"] * rest]
 
     def run(batches):
+        head, last, held = None, None, np.array([], np.uint64)
         with np.errstate(over="ignore"):
             for batch in batches:
-                for half in slices(batch, "text_a", 1 << 20):
-                    for part in slices(half, "text_b", 1 << 20):
-                        a, b = (part.column(c).to_pylist() for c in ("a", "b"))
-                        kept = []
-                        for i, j, x, y in zip(a, b, *(shingle_sets(part.column(c).to_pylist(), n) for c in ("text_a", "text_b"))):
-                            common = len(np.intersect1d(x, y, assume_unique=True))
-                            if 100 * common >= percent * (len(x) + len(y) - common):
-                                kept.append((i, j))
-                        yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in kept], pa.int64()) for c in (0, 1)], ["a", "b"])
+                for part in slices(batch, "text"):
+                    out, lacked = [], []
+                    keys = zip(*(part.column(c).to_pylist() for c in ("a", "share", "b")))
+                    for (a, share, b), x in zip(keys, shingle_sets(part.column(3).to_pylist(), n)):
+                        if b is None:
+                            head, held = (a, share), x
+                        elif head == (a, share) and last != (a, share, b):
+                            found = np.isin(x, held, assume_unique=True)
+                            out.append((a, b, len(held), len(x), int(found.sum())))
+                            lacked.append(x[~found].view(np.int64))
+                        last = a, share, b
+                    columns = [pa.array([r[k] for r in out], pa.int64()) for k in range(5)]
+                    if rest:
+                        ends = np.cumsum([0, *map(len, lacked)])
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lacked) if lacked else [], pa.int64())))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {'array<long>' if c == 'rest' else 'long'}" for c in names))
+
+
+def similar(percent: int) -> Column:
+    return 100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common"))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+def overlap_needed(a: str, b: str, percent: int) -> Column:
+    """Shingles that sets of two sizes must share: percent / (100 + percent) of the sizes' sum, rounded up."""
+    return F.expr(f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}")
 
 
 def spare(a: str, b: str, percent: int) -> Column:
     """Shared shingles that prefixes must hold beyond the level, by the sizes of two documents.
 
-    Similar sets share at least percent / (100 + percent) of their sizes' sum. What the prefixes of a
+    Similar sets share `overlap_needed`. What the prefixes of a
     level don't share lies behind the prefix that ends first, where a set has percent of
     its size less the level left; the prefixes must hold the rest.
     """
-    both = -F.floor(-percent * (F.col(a) + F.col(b)) / (100 + percent) + 1e-9)
-    left = F.greatest(*(-F.floor(-percent * F.col(c) / 100 + 1e-9) for c in (a, b)))
-    return F.greatest(both - left, F.lit(0))
+    left = F.expr(f"({percent} * greatest({a}, {b}) + 99) div 100")
+    return F.greatest(overlap_needed(a, b, percent) - left, F.lit(0))
 
 
 def fitting(a: str, b: str, percent: int) -> Column:
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
+def grouped(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """`rows` with the group of each id: its component, or itself."""
+    return rows.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+
+
+def main_cells(rows: DataFrame, keys: list[str], cell: str) -> DataFrame:
+    """(keys, main, rows): the commonest cell of each list that has several cells, and the list's length."""
+    counts = rows.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("k"))
+    lists = counts.groupBy(*keys).agg(F.max_by(cell, F.struct("k", cell)).alias("main"), F.sum("k").alias("rows"), F.count(F.lit(1)).alias("cells"))
+    return checkpointed(lists.filter("cells > 1").drop("cells"))
+
+
+def across(rows: DataFrame, keys: list[str], cell: str, meet: Column) -> DataFrame:
+    """Pairs of a list's rows in different cells, columns x_ and y_: those outside its main cell meet the main cell's and, once, each other."""
+    lists = main_cells(rows, keys, cell)
+    mixed = rows.join(small_side(lists, BROADCAST_ROWS // 2), keys)
+    side = lambda df, p: df.select(*keys, *(F.col(c).alias(p + c) for c in df.columns if c not in keys))
+    x, y = side(mixed.filter(F.col(cell) != F.col("main")).drop("main", "rows"), "x_"), side(mixed.drop("rows"), "y_")
+    once = (F.col(f"y_{cell}") == F.col("y_main")) | (F.col("x_id") < F.col("y_id"))
+    return x.join(y, keys).filter(once & (F.col(f"x_{cell}") != F.col(f"y_{cell}")) & meet)
+
+
+def references(named: DataFrame, ties: DataFrame) -> DataFrame:
+    """(a, b): for each document b of long lists with several groups the document a to know it by.
+
+    It is the centre of the group that is the main one of most of b's lists: the head that most members are tied to.
+    """
+    lists = main_cells(named, ["shingle"], "group").filter(F.col("rows") >= HOT)
+    main = named.join(small_side(lists, BROADCAST_ROWS // 2), "shingle").groupBy("id", "main").agg(F.count(F.lit(1)).alias("k"))
+    main = main.groupBy("id").agg(F.max_by("main", F.struct("k", -F.col("main"))).alias("group"))
+    centres = ties.groupBy("group", "a").agg(F.count(F.lit(1)).alias("k")).groupBy("group").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
+    return main.join(centres, "group", "left").select(F.coalesce("a", "group").alias("a"), F.col("id").alias("b"))
+
+
+def by_reference(known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents with one reference whose overlap may suffice; `known` has id, group, ref, size, o and rest.
+
+    Two sets share at most the lesser of their overlaps o with the reference, and
+    what they share outside it. So either they meet in a shingle that the reference
+    lacks, of which all are listed, or both overlaps alone reach what is needed.
+    """
+    need = overlap_needed("x_size", "y_size", percent)
+    bare = known.drop("rest")
+    outside = across(known.select("ref", F.explode("rest").alias("shingle"), "id", "group", "size", "o"), ["ref", "shingle"], "group", fitting("x_size", "y_size", percent))
+    pair = [F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")]
+    first = outside.groupBy(*pair).agg(F.count(F.lit(1)).alias("k"), F.first(need - F.least("x_o", "y_o")).alias("need")).filter("k >= need").select("a", "b")
+
+    lists = main_cells(bare, ["ref"], "group").drop("rows")
+    near = bare.filter(100 * F.col("o") >= percent * F.col("size")).join(small_side(lists, BROADCAST_ROWS // 2), "ref")
+    x = near.filter(F.col("group") != F.col("main")).withColumn("least", F.expr(f"({percent} * size + 99) div 100")).withColumn("most", F.expr(f"(o * {100 + percent}) div {percent} - size"))
+    x = x.filter("least <= most").select("ref", F.explode(F.sequence("least", "most")).alias("y_size"), *(F.col(c).alias(f"x_{c}") for c in ("id", "group", "size", "o")))
+    y = near.select("ref", F.col("size").alias("y_size"), *(F.col(c).alias(f"y_{c}") for c in ("id", "group", "o", "main")))
+    once = (F.col("y_group") == F.col("y_main")) | (F.col("x_id") < F.col("y_id"))
+    second = x.join(y, ["ref", "y_size"]).filter(once & (F.col("x_group") != F.col("y_group")) & (F.least("x_o", "y_o") >= need)).select(*pair)
+    return first.unionByName(second)
+
+
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (least id reachable by links, its own included).
 
     Documents with equal sets are one class, joined by its least id. Among
-    classes, two passes lose no link and never list all pairs of a group:
-    first each document is compared with the head it shares most prefix
-    shingles with, which ties near copies together; then, in each list of a
-    prefix shingle that still holds several groups, documents outside the
-    list's main group meet those of other groups, and pairs with enough
-    matches are compared. Pairs inside a group need no comparison.
+    classes, three passes lose no link and don't list all pairs of a group:
+    1. each document is compared with the head it shares most prefix
+       shingles with, which ties near copies together;
+    2. documents of long lists that still hold several groups are compared
+       with the centre of the group that they meet most (`references`); two
+       with one centre need a comparison only as `by_reference` says;
+    3. in each list, documents of different groups and centres are compared
+       if they have enough matches.
+    Pairs inside a group need no comparison. What remains quadratic is the
+    number of documents of different groups that share a rare shingle, or one
+    that their common centre lacks.
 
     Null and empty texts have no shingles and no links. Ids name documents:
-    rows under one id should have one text; null ids are returned without a
-    class. No candidate is capped. An empty table gives an empty result.
+    rows under one id should have one text, and repeated rows share a verdict;
+    null ids are returned without a class. No candidate is capped. An empty
+    table gives an empty result. Other columns are not read.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = checkpointed(profile(rows, n))
@@ -228,30 +318,40 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     top = tallied.orderBy(F.desc("k"), "id").limit(FREQUENT).toPandas().sort_values("id", key=lambda x: x.to_numpy().view(np.uint64))
     frequent = top["id"].to_numpy(np.int64).view(np.uint64), top["k"].to_numpy(np.int64)
 
-    classes = sets.filter("size > 0").groupBy("h1", "h2", "size").agg(F.min("id").alias("rep"))
-    member = checkpointed(sets.join(classes, ["h1", "h2", "size"], "left").select("id", "size", "rep"))
+    classes = checkpointed(sets.filter("size > 0").groupBy("h1", "h2", "size").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"))
+    member = checkpointed(sets.join(small_side(classes, BROADCAST_ROWS // 2), ["h1", "h2", "size"], "left").select("id", "size", F.coalesce("rep", "id").alias("rep")))
     copies = checkpointed(member.filter("id <> rep").select("id").distinct())
     single = rows.join(small_side(copies), "id", "left_anti").filter(F.col("id").isNotNull())
 
     shared = checkpointed(shared_postings(prefixes(single, frequent, n, percent)))
     near = shared.filter((F.col("id") != F.col("head")) & fitting("size", "head_size", percent)).groupBy("id", "head").agg(F.count(F.lit(1)).alias("k"))
     stars = near.groupBy("id").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head")).select(F.col("head").alias("a"), F.col("id").alias("b"))
-    first = connected_components(verified(checkpointed(stars), single, n, percent))
-
-    named = shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("shingle", "id", "size", "level", "need", F.coalesce("component", "id").alias("group"))
-    named = checkpointed(named)
-    groups = named.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.count(F.lit(1)).alias("groups"), F.max_by("group", F.struct("k", -F.col("group"))).alias("main")).filter("groups > 1").drop("groups")
-    mixed = named.join(groups, "shingle")
-    x = mixed.filter("group <> main").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("id", "size", "level", "need", "group")))
-    y = mixed.select("shingle", "main", *(F.col(c).alias(f"y_{c}") for c in ("id", "size", "level", "need", "group")))
+    ties = checkpointed(compared(checkpointed(stars), single, n).filter(similar(percent)).select("a", "b"))
+    first = connected_components(ties)
+    lists = shared.select("shingle", "id", "size", "level", "need")
+
+    named = checkpointed(grouped(lists, first))
+    ties = ties.join(first, ties["a"] == first["node"]).select("a", F.col("component").alias("group"))
+    refs = checkpointed(references(named, ties))
+    seen_by = checkpointed(compared(refs.filter("a <> b"), single, n, rest=True))
+    second = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(seen_by.filter(similar(percent)).select("a", "b")))
+    self = refs.filter("a = b").join(member.filter("id = rep").distinct(), F.col("id") == F.col("a")).select("a", "b", F.col("size").cast("long").alias("size"), F.col("size").cast("long").alias("o"), F.array().cast("array<long>").alias("rest"))
+    known = seen_by.filter("2 * common >= size_b").select("a", "b", F.col("size_b").alias("size"), F.col("common").alias("o"), "rest").unionByName(self)
+    known = checkpointed(grouped(known.select(F.col("b").alias("id"), F.col("a").alias("ref"), "size", "o", "rest"), second))
+
+    pair = [F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")]
+    placed = grouped(lists, second).join(small_side(known.select("id", "ref")), "id", "left")
+    placed = checkpointed(placed.withColumn("cell", F.struct(F.col("ref").isNull().alias("alone"), F.coalesce("ref", "group").alias("of"))).drop("ref"))
     need = F.least("x_need", "y_need")
-    meet = (F.col("x_group") != F.col("y_group")) & ((F.col("y_group") == F.col("main")) | (F.col("x_id") < F.col("y_id"))) & fitting("x_size", "y_size", percent) & (F.greatest("x_level", "y_level") <= need)
-    pairs = x.join(y, "shingle").filter(meet).groupBy(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(need + spare("x_size", "y_size", percent)).alias("need")).filter("k >= need").select("a", "b")
-    second = verified(checkpointed(pairs), single, n, percent)
-    final = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
-
-    out = member.join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    meet = (F.col("x_group") != F.col("y_group")) & fitting("x_size", "y_size", percent) & (F.greatest("x_level", "y_level") <= need)
+    matches = across(placed, ["shingle"], "cell", meet)
+    pairs = matches.groupBy(*pair).agg(F.count(F.lit(1)).alias("k"), F.first(need + spare("x_size", "y_size", percent)).alias("need")).filter("k >= need").select("a", "b")
+    pairs = checkpointed(pairs.unionByName(by_reference(known, percent)).distinct())
+    links = compared(pairs, single, n).filter(similar(percent)).select("a", "b")
+    final = checkpointed(connected_components(second.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
+
+    out = member.join(small_side(final.withColumnRenamed("node", "rep")), "rep", "left")
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

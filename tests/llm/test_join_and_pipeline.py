@@ -58,6 +58,33 @@ def test_ngram_join(spark, seed):
     assert ngram_join.ngram_join(df.limit(0)).count() == 0
 
 
+def test_ngram_join_of_one_large_group(spark):
+    """Edits up to and beyond the threshold, shorter and longer cuts of one text, variants within the group; null ids and repeated rows."""
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("xyzuvw") + str(rng.randrange(3000))
+    base = [word() for _ in range(120)]
+    variant = base[:50] + [word() for _ in range(9)] + base[59:]
+    rows = []
+    for _ in range(150):
+        w = list(rng.choice([base, base, variant]))
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(len(w))] = word()
+        rows.append(w)
+    for _ in range(60):
+        k = rng.randrange(60, 121)
+        rows.append(base[:k] if rng.random() < 0.5 else base + [word() for _ in range(120 - k)])
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    rng.shuffle(rows)
+    want = plain_components(rows)
+    assert len({c for _, c in want.values()}) > 10
+    odd = [(None, rows[0][1]), (None, None), (None, "word"), *rows[:5]]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string").repartition(5)
+    got = [(r["doc_id"], (r["n_shingles"], r["component_id"])) for r in ngram_join.ngram_join(df).collect()]
+    assert len(got) == len(rows) + len(odd)
+    assert all(v == want[i] for i, v in got if i is not None) and {i for i, _ in got if i is not None} == set(want)
+    assert ngram_join.keep_one_of_each(df).filter("doc_id IS NULL").count() == 3
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
