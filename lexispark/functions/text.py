@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,15 +24,20 @@ def tokens(text: Column) -> Column:
 
 
 def stem(token: Column) -> Column:
-    """The first suffix that leaves three bytes or more goes, once."""
-    size, out = F.octet_length(token), None
+    """The first suffix that leaves three bytes or more goes, once. Most tokens don't end in a last letter of one and pass at once."""
+    size, out = F.octet_length(token), F.when(~F.right(token, F.lit(1)).isin(sorted({s[-1] for s in SUFFIXES})), token)
     for s in SUFFIXES:
         fits = token.endswith(s) & (size >= len(s) + 3)
         cut = F.substring(token, F.lit(1), F.char_length(token) - len(s))
-        out = F.when(fits, cut) if out is None else out.when(fits, cut)
+        out = out.when(fits, cut)
     return out.otherwise(token)
 
 
+def surface_forms(terms: list[str]) -> list[str]:
+    """Every token whose stem may be one of the terms."""
+    return sorted({t + s for t in terms for s in ("", *SUFFIXES)})
+
+
 def stems(text: Column) -> Column:
     return F.transform(tokens(text), stem)
 
@@ -127,6 +133,41 @@ def compact_sheet(sheet: Column, cells: Column, rows: Column) -> Column:
     return F.concat(F.lit("sheet:"), sheet, F.lit(" range:"), cells, F.lit("\n"), F.array_join(lines, ""))
 
 
+def escape_pipe(text: Column) -> Column:
+    return F.replace(text, F.lit("|"), F.lit("\\|"))
+
+
+def safe_substring(text: Column, offset: Column, length: Column) -> Column:
+    """Characters from an offset, trimmed; the whole text if the offset lies behind it."""
+    cut = F.regexp_replace(F.substring(text, offset + 1, length), r"^\s+|\s+$", "")
+    return F.when(offset >= F.char_length(text), text).otherwise(cut)
+
+
+def chunk_key_path(key: Column) -> Column:
+    """The path of "path#chunk"; a key without # is a path."""
+    return F.when(key.contains("#"), F.regexp_replace(key, "#[^#]*$", "")).otherwise(key)
+
+
+def chunk_key_label(key: Column) -> Column:
+    """File name without .md, and the chunk."""
+    name = F.regexp_replace(F.substring_index(chunk_key_path(key), "/", -1), r"\.md$", "")
+    return F.when(key.contains("#"), F.concat(name, F.lit(" #"), F.substring_index(key, "#", -1))).otherwise(name)
+
+
+def first_segment(path: Column) -> Column:
+    return F.substring_index(path, "/", 1)
+
+
+def skipped_in_sync(path: Column) -> Column:
+    """What isn't copied: the trash, index files and the file manager's own."""
+    return path.startswith(".trash/") | path.startswith(".trash\\") | path.isin(".gitignore", ".DS_Store", "index_full.json.gz", "vectors.bin.gz")
+
+
+def expand_environment(text: str, values: Mapping[str, str]) -> str:
+    """A configuration text with ${NAME} as the value of that name, or nothing; on the driver."""
+    return re.sub(r"\$\{(\w+)\}", lambda m: values.get(m[1], ""), text, flags=re.ASCII)
+
+
 def title_of_slug(slug: Column) -> Column:
     words = F.filter(F.split(F.replace(slug, F.lit("-"), F.lit(" ")), r"\s+"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.char_length(w)))), " ")
@@ -259,7 +300,7 @@ def auto_tags(text: Column, most: int = 5) -> Column:
     return F.transform(F.slice(ranked, 1, most), lambda x: x["tag"])
 
 
-#: Language: (kind, pattern) in the order tried on each line.
+# For each language (kind, pattern) in the order tried on each line.
 SYMBOLS = {
     "ts": [("func", r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)"), ("type", r"^(?:export\s+)?class\s+(\w+)"), ("type", r"^(?:export\s+)?(?:interface|type)\s+(\w+)")],
     "py": [("func", r"^def\s+(\w+)"), ("type", r"^class\s+(\w+)")],
@@ -268,7 +309,7 @@ SYMBOLS = {
 
 
 def symbols(source: Column, language: str) -> Column:
-    """Array of (name, kind, code) by line patterns; Go declarations are found by their first lines too."""
+    """Array of (name, kind, code) by line patterns; Go declarations are found by their first lines too, those in a `type (...)` group last."""
 
     def of(line: Column) -> Column:
         out = F
@@ -276,7 +317,13 @@ def symbols(source: Column, language: str) -> Column:
             out = out.when(line.rlike(p), F.struct(F.regexp_extract(line, p, 1).alias("name"), F.lit(kind).alias("kind"), F.substring(_stripped(line), 1, 200).alias("code")))
         return out.otherwise(F.lit(None))
 
-    return F.filter(F.transform(F.split(source, "\n"), of), lambda s: s.isNotNull())
+    found = F.filter(F.transform(F.split(source, "\n"), of), lambda s: s.isNotNull())
+    if language != "go":
+        return found
+    member = r"^(?:\t| {2,4})(\w+)(?:\[[^\]]*\])?\s+\S"
+    lines = F.split(F.array_join(F.regexp_extract_all(source, F.lit(r"(?ms)^type \($(.*?)^\)"), 1), "\n"), "\n")
+    grouped = F.transform(F.filter(lines, lambda x: x.rlike(member)), lambda x: F.struct(F.regexp_extract(x, member, 1).alias("name"), F.lit("type").alias("kind"), F.substring(_stripped(x), 1, 200).alias("code")))
+    return F.concat(found, grouped)
 
 
 def json_array(text: Column) -> Column:

@@ -23,6 +23,7 @@ class Index:
     documents: DataFrame
     postings: DataFrame
     stats: DataFrame
+    saved: bool = False
 
     def save(self, path: str) -> None:
         """Parquet tables under one folder; postings are sorted by term so that row groups can be skipped."""
@@ -32,7 +33,17 @@ class Index:
 
     @staticmethod
     def load(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("docs", "chunks", "documents", "postings", "stats")))
+        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("docs", "chunks", "documents", "postings", "stats")), saved=True)
+
+    def postings_of(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms: read by row group if saved, else built from the tokens that have one of the terms as stem."""
+        wanted = F.col("term").isin(sorted(set(terms)) or [""])
+        if self.saved:
+            return self.postings.filter(wanted)
+        forms = self.docs.sparkSession.createDataFrame([(t,) for t in T.surface_forms(sorted(set(terms))) or [""]], "word string")
+        some = _stemmed(self.chunks.select("path", "chunk_id", F.explode("tokens").alias("word")).join(F.broadcast(forms), "word"))
+        whole = tag_postings(self.docs).unionByName(path_postings(self.docs))
+        return some.filter(wanted).unionByName(whole.filter(wanted))
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
@@ -41,12 +52,16 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return cut.withColumn("tokens", T.tokens(F.col("text"))).withColumn("word_count", F.size("tokens"))
 
 
-def content_postings(chunks: DataFrame) -> DataFrame:
-    words = chunks.select("path", "chunk_id", F.explode("tokens").alias("word"))
+def _stemmed(words: DataFrame) -> DataFrame:
+    """Content postings of (path, chunk_id, word)."""
     terms = words.select("path", "chunk_id", T.stem(F.col("word")).alias("term"))  # outside of arrays, so in generated code
     return terms.groupBy("term", "path", "chunk_id").agg(F.count(F.lit(1)).alias("frequency")).select("term", "path", F.lit("content").alias("field"), "chunk_id", "frequency")
 
 
+def content_postings(chunks: DataFrame) -> DataFrame:
+    return _stemmed(chunks.select("path", "chunk_id", F.explode("tokens").alias("word")))
+
+
 def _document_postings(docs: DataFrame, words, field: str) -> DataFrame:
     terms = docs.select("path", F.explode(words).alias("term"))
     return terms.groupBy("term", "path").agg(F.count(F.lit(1)).alias("frequency")).select("term", "path", F.lit(field).alias("field"), F.lit(None).cast("int").alias("chunk_id"), "frequency")
@@ -85,6 +100,11 @@ def tag_index(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode("tags").alias("tag"), "path").distinct()
 
 
+def term_documents(postings: DataFrame) -> DataFrame:
+    """(term, n): documents that have a term, counted in two steps so that both combine before their shuffle."""
+    return postings.groupBy("term", "path").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def embedding_texts(docs: DataFrame, chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(path, chunk_id, text) with the document's tags in front, as an embedder gets it; `only`: paths to do."""
     prefix = F.when(F.size("tags") > 0, F.concat(F.lit("Tags: "), F.array_join("tags", ", "), F.lit(". "))).otherwise("")

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from lexispark import schema as S
 from lexispark.functions import text as T
+from lexispark.runtime import ranked
 
 from .components import connected_components
-from .index import Index
+from .index import Index, term_documents
 from .search import boost, idf, saturation
 
 
 def document_vectors(index: Index) -> DataFrame:
     """(path, term, w) of unit length: BM25 weights by document lengths, without path postings."""
     p = index.postings.filter("field <> 'path'")
-    df = p.groupBy("term").agg(F.countDistinct("path").alias("n"))
+    df = term_documents(p)
     stats = F.broadcast(index.stats.select("n_docs", F.coalesce(F.when(F.col("avg_doc") > 0, F.col("avg_doc")), F.lit(1.0)).alias("average")))
     x = p.join(df, "term").join(index.documents.select("path", "word_count"), "path").crossJoin(stats)
     w = idf(F.col("n_docs"), F.col("n")) * saturation(F.col("frequency"), F.col("word_count"), F.col("average")) * boost(F.col("field"))
@@ -53,10 +54,11 @@ def clusters(pairs: DataFrame) -> DataFrame:
 
 
 def best_targets(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cluster, target): most used, then newest, then longest, then first by path."""
+    """(cluster, target): most used, then newest, then longest, then first by path; one aggregation that combines early."""
     x = members.join(docs.select("path", "access_count", "updated", F.octet_length("content").alias("size")), "path")
-    w = Window.partitionBy("cluster").orderBy(F.desc("access_count"), F.desc("updated"), F.desc("size"), "path")
-    return x.withColumn("n", F.row_number().over(w)).filter("n = 1").select("cluster", F.col("path").alias("target"))
+    best = x.groupBy("cluster").agg(F.max(F.struct("access_count", "updated", "size")).alias("best"))
+    same = x.join(best, "cluster").filter(F.struct("access_count", "updated", "size").eqNullSafe(F.col("best")))
+    return same.groupBy("cluster").agg(F.min("path").alias("target"))
 
 
 def _plan(members: DataFrame, docs: DataFrame, kind: str) -> DataFrame:
@@ -145,22 +147,68 @@ def combine_plans(actions: Iterable[dict]) -> list[dict]:
     return out
 
 
+def trust(confidence: Column) -> Column:
+    """Order of confidences; what is none of them is least."""
+    return F.when(confidence == "high", 3).when(confidence == "medium", 2).when(confidence == "low", 1).otherwise(0)
+
+
 def apply_plan(docs: DataFrame, plan: DataFrame, as_of: Column) -> DataFrame:
     """A new version of `docs`: sources (type, source_path, target_path) are merged into their targets or moved.
 
-    Merged contents follow the target's in the order of paths; the earlier
-    version of the table is the trash. The texts of one target meet in one row, which they become.
+    To a target come its sources' texts in the order of paths: merged ones
+    behind a line of three dashes, consolidated ones under their file name as
+    heading. Tags join, the best confidence stays, the date is `as_of`. Sources of a
+    missing target stay as they are. The earlier version of the table is the
+    trash. The texts of one target meet in one row, which they become; files
+    that the plan doesn't name pass through.
     """
-    moved = plan.select(F.col("source_path").alias("path"), F.col("target_path").alias("__to"), F.col("type").alias("__type"))
-    x = docs.join(moved, "path", "left")
-    rows = x.select(F.coalesce("__to", "path").alias("__key"), (F.col("__to").isNotNull() & (F.col("__type") != "move")).alias("__joined"), *docs.columns)
-    g = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("__joined", "path", "content", "tags", "confidence", "source", "updated", "access_count", "last_accessed"))).alias("r"))
-    first = F.col("r")[0]
-    body = F.array_join(F.transform("r", lambda r: F.regexp_replace(r["content"], r"^\n+|\n+$", "")), "\n\n")
-    tags = F.array_distinct(F.flatten(F.transform("r", lambda r: F.coalesce(r["tags"], F.array().cast("array<string>")))))
-    many = F.col("n") > 1
-    values = {"path": F.col("__key"), "content": F.when(many, F.concat(F.lit("\n"), body, F.lit("\n"))).otherwise(first["content"]), "tags": F.when(many, tags).otherwise(first["tags"]), "updated": F.when(many, as_of).otherwise(first["updated"])}
-    return g.select(*(values.get(c, first[c]).alias(c) for c in docs.columns))
+    joins = plan.filter("type <> 'move'").join(docs.select(F.col("path").alias("target_path")), "target_path", "left_semi")
+    moves = plan.filter("type = 'move'").select(F.col("source_path").alias("path"), F.col("target_path").alias("__to"))
+    ends = lambda x: F.regexp_replace(x, r"\n+$", "")
+    title = T.title_of_slug(F.regexp_replace(F.substring_index("path", "/", -1), r"\.md$", ""))
+    before = F.when(F.col("type") == "consolidate", F.concat(F.lit("\n\n## "), title, F.lit("\n\n"))).otherwise(F.lit("\n\n---\n\n"))
+    part = F.concat(before, F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", ""))
+    none = F.array().cast("array<string>")
+    sources = docs.join(joins.withColumnRenamed("source_path", "path"), "path").select(F.col("target_path").alias("path"), F.struct("path", part.alias("part"), F.coalesce("tags", none).alias("tags"), "confidence").alias("s"))
+    got = sources.groupBy("path").agg(F.array_sort(F.collect_list("s")).alias("__s"))
+    rest = F.slice("__s", F.lit(1), F.size("__s") - 1)
+    text = F.concat(ends(F.coalesce("content", F.lit(""))), F.array_join(F.transform(rest, lambda x: ends(x["part"])), ""), F.element_at("__s", -1)["part"], F.lit("\n"))
+    best = F.array_max(F.transform("__s", lambda x: F.struct(trust(x["confidence"]).alias("r"), x["confidence"].alias("c"))))
+    filled = F.col("__s").isNotNull()
+    new = {
+        "path": F.coalesce("__to", "path"),
+        "content": F.when(filled, text).otherwise(F.col("content")),
+        "tags": F.when(filled, T.merge_tags(F.col("tags"), F.flatten(F.transform("__s", lambda x: x["tags"])))).otherwise(F.col("tags")),
+        "confidence": F.when(filled & (best["r"] > trust(F.col("confidence"))), best["c"]).otherwise(F.col("confidence")),
+        "updated": F.when(filled, as_of).otherwise(F.col("updated")),
+    }
+    kept = docs.join(joins.select(F.col("source_path").alias("path")), "path", "left_anti")
+    x = kept.join(got, "path", "left").join(moves, "path", "left")
+    return x.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
+def write_files(docs: DataFrame, writes: DataFrame, as_of: Column) -> DataFrame:
+    """A new version of `docs` after writes (path, content, tags as a list with commas, confidence); those of no valid category change nothing.
+
+    ".md" is added where it is missing, a confidence that is null or empty is "medium". Several writes to one
+    path: the one that sorts last by content stays.
+    """
+    path = F.when(F.col("path").endswith(".md"), F.col("path")).otherwise(F.concat("path", F.lit(".md")))
+    valid = writes.withColumn("path", path).filter(F.split("path", "/")[0].isin(list(S.CATEGORIES)))
+    one = valid.groupBy("path").agg(F.max(F.struct("content", "tags", "confidence")).alias("w"))
+    tags = F.filter(F.transform(F.split(F.coalesce("w.tags", F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
+    new = {
+        "path": F.col("path"), "content": F.concat(F.lit("\n"), F.coalesce("w.content", F.lit("")), F.lit("\n")), "tags": tags, "updated": as_of, "source": F.lit("tool"), "access_count": F.lit(0),
+        "confidence": F.coalesce(F.when(F.col("w.confidence") != "", F.col("w.confidence")), F.lit("medium")),
+    }
+    types = dict(docs.dtypes)
+    written = one.select(*(new.get(c, F.lit(None)).cast(types[c]).alias(c) for c in docs.columns))
+    return docs.join(one.select("path"), "path", "left_anti").select(docs.columns).unionByName(written)
+
+
+def refused_writes(writes: DataFrame) -> DataFrame:
+    """The writes whose category isn't valid."""
+    return writes.filter(~F.coalesce(F.split("path", "/")[0].isin(list(S.CATEGORIES)), F.lit(False)))
 
 
 def decayed(confidence: Column, updated: Column, as_of: Column) -> Column:
@@ -215,8 +263,10 @@ def learn(docs: DataFrame, learnings: DataFrame, as_of: str) -> DataFrame:
 
 
 def scan_batches(docs: DataFrame, size: int = 12) -> DataFrame:
-    """(category, batch, path) for contradiction scans: categories of two files or more, in batches."""
-    x = docs.select(F.split("path", "/")[0].alias("category"), "path")
-    w = Window.partitionBy("category")
-    x = x.withColumn("n", F.row_number().over(w.orderBy("path"))).withColumn("all", F.count(F.lit(1)).over(w))
-    return x.filter("all >= 2").select("category", F.floor((F.col("n") - 1) / size).alias("batch"), "path")
+    """(category, batch, path) for contradiction scans: categories of two files or more, in batches.
+
+    A file's number is its place in the order of all files less that of its category's first.
+    """
+    x = ranked(docs.select(F.split("path", "/")[0].alias("category"), "path"), "category", "path")
+    firsts = x.groupBy("category").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("all")).filter("all >= 2")
+    return x.join(firsts, "category").select("category", F.floor((F.col("rank") - F.col("first")) / size).alias("batch"), "path")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lexispark import schema as S
 from lexispark.functions import text as T
 
-from .index import Index, tag_index
+from lexispark.runtime import ranked
 
+from .index import Index, tag_index, term_documents
 
 
 def boost(field: Column) -> Column:
@@ -38,8 +39,8 @@ def bm25_chunks(index: Index, terms: list[str]) -> DataFrame:
     Only the postings of the terms are built or read. A tag or path posting
     counts, divided, in each chunk of its document. Repeated terms count each time.
     """
-    hits = index.postings.filter(F.col("term").isin(sorted(set(terms)) or [""])).join(_terms(index, terms), "term")
-    df = hits.groupBy("term").agg(F.countDistinct("path").alias("n"))
+    hits = index.postings_of(terms).join(_terms(index, terms), "term")
+    df = term_documents(hits)
     stats = F.broadcast(index.stats.select("n_docs", F.coalesce(F.when(F.col("avg_chunk") > 0, F.col("avg_chunk")), F.when(F.col("avg_doc") > 0, F.col("avg_doc")), F.lit(1.0)).alias("average")))
     known = hits.join(F.broadcast(df), "term").crossJoin(stats).withColumn("idf", idf(F.col("n_docs"), F.col("n")))
     weight = lambda length: F.col("m") * F.col("idf") * saturation(F.col("frequency"), length, F.col("average")) * boost(F.col("field"))
@@ -68,7 +69,7 @@ def feedback_terms(index: Index, terms: list[str]) -> tuple[list[str], DataFrame
     spark = index.docs.sparkSession
     keys = F.broadcast(spark.createDataFrame([(r["path"], r["chunk_id"]) for r in top], "path string, chunk_id int"))
     new = index.chunks.join(keys, ["path", "chunk_id"]).select(F.explode("tokens").alias("term")).select(T.stem(F.col("term")).alias("term")).filter(~F.col("term").isin(terms)).distinct()
-    df = index.postings.join(F.broadcast(new), "term").groupBy("term").agg(F.countDistinct("path").alias("n"))
+    df = term_documents(index.postings_of([r["term"] for r in new.collect()]))  # the words of three chunks
     best = df.crossJoin(F.broadcast(index.stats.select("n_docs"))).select("term", F.round(idf(F.col("n_docs"), F.col("n")), 6).alias("idf")).orderBy(F.desc("idf"), "term").limit(S.FEEDBACK_TERMS)
     return [r["term"] for r in best.collect()], first
 
@@ -87,14 +88,10 @@ def tag_query(docs: DataFrame, words: list[str]) -> DataFrame:
 
 
 def fuse(*lists: DataFrame, keys: list[str], k: int = S.RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion of lists of (keys, score): sum of 1 / (k + rank).
-
-    Ranks are global, so each list is one sorted partition: lists are the
-    hits of one query. To fuse long lists, cut them by score first.
-    """
-    ranked = [x.select(*keys, (1.0 / (k + F.row_number().over(Window.orderBy(F.desc(F.round("score", 6)), *keys)))).alias("part")) for x in lists]
-    out = ranked[0]
-    for x in ranked[1:]:
+    """Reciprocal-rank fusion of lists of (keys, score): sum of 1 / (k + rank), ranks by range partitions."""
+    places = [ranked(x.select(*keys, (-F.round("score", 6)).alias("__order")), "__order", *keys).select(*keys, (1.0 / (k + 1 + F.col("rank"))).alias("part")) for x in lists]
+    out = places[0]
+    for x in places[1:]:
         out = out.unionByName(x)
     return out.groupBy(*keys).agg(F.sum("part").alias("score"))
 
@@ -142,6 +139,15 @@ def retrieve(index: Index, query: str, as_of: Column, limit: int = S.CONTEXT_FIL
     return profile.unionByName(ordered(best, "path", "chunk_id").limit(room).select(shown.alias("path"), "score", "text"))
 
 
+def tool_search(index: Index, query: str, as_of: Column) -> DataFrame:
+    """(path, score, preview) of all hits: by BM25, and by tags where that finds none; scores count recency, use and trust, the preview is the first line."""
+    hits = bm25_docs(index, T.query_terms(query))
+    if hits.isEmpty():
+        hits = tag_query(index.docs, query.lower().split())
+    found = rescored(hits, index.docs, as_of).join(index.docs.select("path", T.first_line(F.col("content")).alias("preview")), "path")
+    return found.select("path", "score", "preview")
+
+
 def answer_confidence(n_files: Column) -> Column:
     return F.when(n_files > 3, "high").when(n_files > 1, "medium").otherwise("low")
 

@@ -9,10 +9,10 @@ from lexispark.functions import text as T
 
 
 def overview(docs: DataFrame, documents: DataFrame) -> DataFrame:
-    """One row: files, words, chunks, different tags."""
+    """One row: files, words, chunks, different tags, and the index's health: "stale" if it has no chunk."""
     tags = docs.select(F.explode("tags").alias("t")).agg(F.countDistinct("t").alias("tags"))
     sizes = documents.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"))
-    return sizes.crossJoin(tags)
+    return sizes.crossJoin(tags).withColumn("health", F.when(F.col("chunks") > 0, "ok").otherwise("stale"))
 
 
 def category_counts(docs: DataFrame) -> DataFrame:
@@ -64,18 +64,25 @@ def last_exchange(sessions: DataFrame, most: int = 200) -> DataFrame:
     return last.filter(F.size("messages") > 0).select("id", of("user").alias("question"), of("assistant").alias("answer"))
 
 
-def import_counts(conversations: DataFrame, done: DataFrame) -> DataFrame:
-    """One row: processed, unchanged and empty conversations (id, messages) against a manifest (id, hash)."""
+def import_counts(conversations: DataFrame, done: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row: processed, unchanged, empty and failed conversations (id, messages) against a manifest (id, hash) and the ids that failed."""
     x = conversations.select("id", F.size("messages").alias("n"), T.conversation_hash(F.col("messages")).alias("now")).join(done, "id", "left")
+    bad = F.lit(False)
+    if failed is not None:
+        x, bad = x.join(failed.select("id", F.lit(True).alias("bad")).distinct(), "id", "left"), F.coalesce("bad", F.lit(False))
     empty, same = F.col("n") <= 0, F.col("hash").eqNullSafe(F.col("now"))
-    return x.agg(F.count_if(~empty & ~same).alias("processed"), F.count_if(~empty & same).alias("unchanged"), F.count_if(empty).alias("empty"))
+    new = ~empty & ~same
+    return x.agg(F.count_if(new & ~bad).alias("processed"), F.count_if(~empty & same).alias("unchanged"), F.count_if(empty).alias("empty"), F.count_if(new & bad).alias("failed"))
 
 
-def prompt_context(docs: DataFrame, most: int = 300) -> DataFrame:
-    """(position, block) of a prompt: files of style/ first, then by path, each cut to `most` characters."""
-    cut = F.when(F.char_length("content") > most, F.concat(F.substring("content", 1, most), F.lit("..."))).otherwise(F.col("content"))
-    w = Window.orderBy(F.when(F.col("path").startswith("style/"), 0).otherwise(1), "path")
-    return docs.select(F.row_number().over(w).alias("position"), F.concat(F.lit("### "), "path", F.lit("\n"), cut, F.lit("\n")).alias("block"))
+def low_confidence(plan: DataFrame, least: float = 0.4) -> DataFrame:
+    """A migration plan with a flag on the actions that are to be looked at."""
+    return plan.withColumn("low_confidence", F.col("confidence") < least)
+
+
+def read_file(docs: DataFrame, path: str) -> DataFrame:
+    """(path, tags, confidence, content) of one file, without the white space around its text."""
+    return docs.filter(F.col("path") == path).select("path", "tags", "confidence", F.regexp_replace("content", r"^\s+|\s+$", "").alias("content"))
 
 
 def sync_status(local: DataFrame, remote: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def cosine_search(vectors: DataFrame, query: list[float], vec: str = "vec") -> D
 
 
 def external_embeddings(texts: DataFrame, embed, batch: int = 20) -> DataFrame:
-    """(path, chunk_id, content_hash, vec) by `embed` (texts to vectors), so many at a time in every task; failed batches give no rows."""
+    """(path, chunk_id, content_hash, vec) by `embed` (texts to vectors), so many at a time in every task; vec is null where the service failed."""
 
     def run(frames):
         import pandas as pd
@@ -112,10 +112,10 @@ def external_embeddings(texts: DataFrame, embed, batch: int = 20) -> DataFrame:
             for at in range(0, len(f), batch):
                 part = f.iloc[at : at + batch]
                 try:
-                    vectors = embed(part["text"].tolist())
-                except OSError:  # a service that doesn't answer: the rest is still of use
-                    continue
-                yield pd.DataFrame({"path": part["path"], "chunk_id": part["chunk_id"], "content_hash": part["content_hash"], "vec": [list(map(float, v)) for v in vectors]})
+                    vectors = [list(map(float, v)) for v in embed(part["text"].tolist())]
+                except OSError:  # a service that doesn't answer: these rows can be asked for again
+                    vectors = [None] * len(part)
+                yield pd.DataFrame({"path": part["path"], "chunk_id": part["chunk_id"], "content_hash": part["content_hash"], "vec": vectors})
 
     x = texts.select("path", "chunk_id", "text", F.substring(F.sha2("text", 256), 1, 24).alias("content_hash"))
     return x.mapInPandas(run, "path string, chunk_id int, content_hash string, vec array<double>")
@@ -127,7 +127,10 @@ def principal_axes(vectors: DataFrame, id_col: str, vec: str, scale: float = 400
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     v = vectors.select(F.col(id_col).alias("id"), array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
-    width = len(vectors.select(vec).first()[0])
+    one = vectors.select(vec).first()
+    if one is None:
+        return v.select("id", *(F.lit(0.0).alias(c) for c in ("p", "x", "y", "z")))
+    width = len(one[0])
     k = min(3, width)
     x = PCA(k=k, inputCol="v", outputCol="w").fit(v).transform(v).select("id", vector_to_array("w").alias("w"))
     axes = x.select("id", *(F.col("w")[i].alias(f"c{i}") for i in range(k)), *(F.lit(0.0).alias(f"c{i}") for i in range(k, 3)))

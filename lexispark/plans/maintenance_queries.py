@@ -8,6 +8,7 @@ from lexispark import schema as S
 from lexispark.functions import text as T
 from lexispark.operators import index as I
 from lexispark.operators import maintenance as M
+from lexispark.operators import prompts as P
 from lexispark.operators import search as R
 from lexispark.operators import summary as Y
 from lexispark.runtime import read_table
@@ -118,7 +119,7 @@ def _lost(spark, sf_dir):
     return _marked(spark, sf_dir).withColumn("path", F.when(n % 4 == 0, F.concat(F.lit("misc/"), rest)).when(n % 4 == 1, F.substring_index("path", "/", -1)).otherwise(F.col("path")))
 
 
-@register("migrate_plan", with_sql("docs", f"""SELECT m.path AS source_path, CASE WHEN t.path IS NULL THEN 'move' ELSE 'consolidate' END AS type, target AS target_path, round(coalesce(confidence, 0), 6) AS confidence
+@register("migrate_plan", with_sql("docs", f"""SELECT m.path AS source_path, CASE WHEN t.path IS NULL THEN 'move' ELSE 'consolidate' END AS type, target AS target_path, round(coalesce(confidence, 0), 6) AS confidence, coalesce(confidence, 0) < 0.4 AS low_confidence
   FROM (SELECT path, coalesce(cat, 'knowledge') || '/' || name AS target, score / total AS confidence FROM lost LEFT JOIN best USING (path)) m LEFT JOIN moved t ON t.path = target""", {
     "signal": _SCORES["signal"],
     "moved": f"SELECT CASE doc_id % 4 WHEN 0 THEN 'misc/' || source || '/doc-' || doc_id || '.md' WHEN 1 THEN 'doc-' || doc_id || '.md' ELSE path END AS path, doc_id, source, tags, {_MARKED} AS content FROM docs",
@@ -127,7 +128,7 @@ def _lost(spark, sf_dir):
     "best": f"SELECT path, cat, score, sum(score) OVER (PARTITION BY path) AS total FROM scores QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, {_RANK.format('cat')}) = 1",
 }))
 def migrate_plan(spark, sf_dir):
-    return M.migrate_plan(_lost(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+    return Y.low_confidence(M.migrate_plan(_lost(spark, sf_dir))).withColumn("confidence", F.round("confidence", 6))
 
 
 @register("reorg_combined")
@@ -234,7 +235,7 @@ def embedding_texts(spark, sf_dir):
 # ---- reports ----
 
 
-@register("overview", with_sql("docs sized stats", "SELECT n_docs AS files, (SELECT sum(word_count)::BIGINT FROM sized) AS words, n_chunks::BIGINT AS chunks, (SELECT count(DISTINCT t) FROM (SELECT unnest(tags) AS t FROM docs)) AS tags FROM stats"))
+@register("overview", with_sql("docs sized stats", "SELECT n_docs AS files, (SELECT sum(word_count)::BIGINT FROM sized) AS words, n_chunks::BIGINT AS chunks, (SELECT count(DISTINCT t) FROM (SELECT unnest(tags) AS t FROM docs)) AS tags, CASE WHEN n_chunks > 0 THEN 'ok' ELSE 'stale' END AS health FROM stats"))
 def overview(spark, sf_dir):
     x = _index(spark, sf_dir)
     return Y.overview(x.docs, x.documents)
@@ -264,7 +265,55 @@ def file_listing(spark, sf_dir):
 @register("prompt_context", with_sql("docs", "SELECT row_number() OVER (ORDER BY (category <> 'style')::INT, path) AS position, '### ' || path || chr(10) || CASE WHEN length(content) > 300 THEN content[:300] || '...' ELSE content END || chr(10) AS block FROM docs ORDER BY position LIMIT 60"))
 def prompt_context(spark, sf_dir):
     """The first 60 files of a prompt: the report's own limit."""
-    return Y.prompt_context(knowledge_files(spark, sf_dir)).orderBy("position").limit(60)
+    return P.prompt_context(knowledge_files(spark, sf_dir), files=60)
+
+
+_HEAD = "Read this."
+_BARE = r"regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')"
+
+
+def _sql_entry(most: int) -> str:
+    bare = _BARE.format("content")
+    return f"'### ' || path || chr(10) || CASE WHEN length({bare}) > {most} THEN {bare}[:{most}] || '...' ELSE {bare} END || chr(10) || chr(10)"
+
+
+@register("contradiction_prompts", with_sql("docs", f"SELECT category, batch, '{_HEAD} ' || category || chr(10) || chr(10) || string_agg({_sql_entry(400)}, '' ORDER BY path) AS prompt FROM (SELECT category, path, content, (row_number() OVER (PARTITION BY category ORDER BY path) - 1) // 12 AS batch FROM docs QUALIFY count(*) OVER (PARTITION BY category) >= 2) GROUP BY category, batch"))
+def contradiction_prompts(spark, sf_dir):
+    d = knowledge_files(spark, sf_dir)
+    return P.contradiction_prompts(d, M.scan_batches(d), _HEAD)
+
+
+@register("expertise_prompt", with_sql("docs", f"SELECT '{_HEAD}' || chr(10) || chr(10) || string_agg({_sql_entry(300)}, '' ORDER BY path) || 'Generated: {AS_OF}' || chr(10) AS prompt FROM (SELECT path, content FROM docs WHERE path <> 'expertise/map.md' ORDER BY path LIMIT 60)"))
+def expertise_prompt(spark, sf_dir):
+    return P.expertise_prompt(P.expertise_files(knowledge_files(spark, sf_dir)), _HEAD, AS_OF)
+
+
+@register("system_prompt", with_sql("docs", f"SELECT '{_HEAD}' || chr(10) || '## Mirror' || chr(10) || chr(10) || string_agg(CASE WHEN category = 'style' THEN {_BARE.format('content')} || chr(10) || chr(10) ELSE '### ' || path || chr(10) || {_BARE.format('content')} || chr(10) || chr(10) END, '' ORDER BY category <> 'style', path) AS prompt FROM (SELECT * FROM docs WHERE category IN ('style', 'identity') ORDER BY path DESC LIMIT 5 OFFSET 0) x"))
+def system_prompt(spark, sf_dir):
+    """With the last five files of two categories, as retrieval gives five."""
+    d = knowledge_files(spark, sf_dir).filter(F.split("path", "/")[0].isin("style", "identity"))
+    return P.system_prompt(d.orderBy(F.desc("path")).limit(5), _HEAD, "Mirror")
+
+
+def _sql_talk(files: str) -> str:
+    form = P.LEARNING_FORM.replace("'", "''")
+    known = f"(SELECT 'Known already:' || chr(10) || string_agg({_sql_entry(300)}, '' ORDER BY path) FROM ({files})) || " if files else ""
+    return f"SELECT conv_id, '{_HEAD}' || chr(10) || chr(10) || {known}'Conversation:' || chr(10) || string_agg(role || ': ' || text || chr(10), '' ORDER BY turn) || chr(10) || '{form}' AS prompt FROM conversations GROUP BY conv_id"
+
+
+def _talks(spark, sf_dir):
+    return read_table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
+
+
+@register("learning_prompts", with_sql("docs", _sql_talk("SELECT path, content FROM docs WHERE category = 'opinions' ORDER BY path LIMIT 5")))
+def learning_prompts(spark, sf_dir):
+    files = knowledge_files(spark, sf_dir).filter(F.col("path").startswith("opinions/")).orderBy("path").limit(5)
+    return P.conversation_prompts(_talks(spark, sf_dir), _HEAD, files, key="conv_id", order="turn")
+
+
+@register("reflect_prompts", _sql_talk(""))
+def reflect_prompts(spark, sf_dir):
+    return P.conversation_prompts(_talks(spark, sf_dir), _HEAD, key="conv_id", order="turn")
 
 
 @register("scan_batches", with_sql("docs", "SELECT category, (row_number() OVER (PARTITION BY category ORDER BY path) - 1) // 12 AS batch, path FROM docs QUALIFY count(*) OVER (PARTITION BY category) >= 2"))
@@ -277,3 +326,62 @@ def sync_status(spark, sf_dir):
     d = knowledge_files(spark, sf_dir)
     m = lambda x: x.select("path", T.content_hash(F.col("content")).alias("hash"))
     return Y.sync_status(m(_earlier(d)), m(d))
+
+
+# ---- new versions of the corpus ----
+
+#: Of ten files one is merged into the first, one consolidated into it, and two are moved.
+_RANKED = "CASE {} WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
+
+
+@register("apply_plan", with_sql("docs", f"""
+SELECT t.path, array_to_string(list_filter(tags_all, lambda x, i: list_position(tags_all, x) = i), ',') AS tags,
+  CASE WHEN best > {_RANKED.format('confidence')} THEN ['low', 'medium', 'high'][best] ELSE confidence END AS confidence,
+  CASE WHEN body IS NULL THEN updated ELSE DATE '{AS_OF}' END::VARCHAR AS updated,
+  md5(CASE WHEN body IS NULL THEN content ELSE regexp_replace(content, '\\n+$', '') || body || chr(10) END) AS content_md5
+FROM (SELECT d.*, list_concat(tags, coalesce(more, [])) AS tags_all, best, body FROM docs d LEFT JOIN got ON doc_id = target) t WHERE doc_id % 10 NOT IN (3, 4, 5, 6)
+UNION ALL SELECT 'knowledge/moved/' || doc_id || '.md', array_to_string(tags, ','), confidence, updated::VARCHAR, md5(content) FROM docs WHERE doc_id % 10 IN (5, 6)""", {
+    "src": f"SELECT *, doc_id - doc_id % 10 AS target, chr(10) || chr(10) || CASE doc_id % 10 WHEN 3 THEN '---' ELSE '## Doc ' || doc_id END || chr(10) || chr(10) || {_BARE.format('content')} AS part FROM docs WHERE doc_id % 10 IN (3, 4)",
+    "got": f"SELECT target, string_agg(part, '' ORDER BY path) AS body, max({_RANKED.format('confidence')}) AS best, flatten(list(tags ORDER BY path)) AS more FROM src GROUP BY target",
+}))
+def apply_plan(spark, sf_dir):
+    d = knowledge_files(spark, sf_dir)
+    n = F.regexp_extract("path", r"doc-(\d+)\.md$", 1).cast("long")
+    numbered = d.select("path", n.alias("n"))
+    acts = numbered.filter("n % 10 IN (3, 4, 5, 6)").withColumn("t", F.expr("n - n % 10"))
+    targets = numbered.select(F.col("n").alias("t"), F.col("path").alias("into"))
+    kind = F.when(F.col("n") % 10 == 3, "merge").when(F.col("n") % 10 == 4, "consolidate").otherwise("move")
+    to = F.when(kind == "move", F.concat(F.lit("knowledge/moved/"), F.col("n").cast("string"), F.lit(".md"))).otherwise(F.coalesce("into", F.lit("none")))
+    plan = acts.join(targets, "t", "left").select(kind.alias("type"), F.col("path").alias("source_path"), to.alias("target_path"))
+    x = M.apply_plan(d, plan, as_of())
+    return x.select("path", F.array_join("tags", ",").alias("tags"), "confidence", F.col("updated").cast("string").alias("updated"), F.md5("content").alias("content_md5"))
+
+
+@register("write_files", with_sql("docs", f"""
+SELECT path, array_to_string(tags, ',') AS tags, confidence, source, updated::VARCHAR AS updated, md5(content) AS content_md5 FROM docs WHERE doc_id % 5 <> 0
+UNION ALL SELECT CASE WHEN doc_id % 5 = 0 THEN path ELSE 'goals/new-' || doc_id || '.md' END, 'a,b c', CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'medium' END, 'tool', '{AS_OF}', md5(chr(10) || source || chr(10)) FROM docs WHERE doc_id % 5 IN (0, 1)
+"""))
+def write_files(spark, sf_dir):
+    """Every fifth file is written anew, as many are added, and as many writes have no valid category."""
+    d = knowledge_files(spark, sf_dir)
+    n = F.regexp_extract("path", r"doc-(\d+)\.md$", 1).cast("long")
+    path = F.when(n % 5 == 0, F.regexp_replace("path", r"\.md$", "")).when(n % 5 == 1, F.concat(F.lit("goals/new-"), n.cast("string"))).when(n % 5 == 2, F.concat(F.lit("misc/"), n.cast("string")))
+    writes = d.select(path.alias("path"), F.col("source").alias("content"), F.lit(" a,,b c ").alias("tags"), F.when(n % 2 == 0, "high").otherwise("").alias("confidence")).filter("path IS NOT NULL")
+    x = M.write_files(d, writes, as_of())
+    return x.select("path", F.array_join("tags", ",").alias("tags"), "confidence", "source", F.col("updated").cast("string").alias("updated"), F.md5("content").alias("content_md5"))
+
+
+@register("read_file", with_sql("docs", f"SELECT path, array_to_string(tags, ',') AS tags, confidence, {_BARE.format('content')} AS content FROM docs WHERE doc_id = 17"))
+def read_file(spark, sf_dir):
+    d = knowledge_files(spark, sf_dir)
+    path = d.filter(F.col("path").endswith("/doc-17.md")).select("path").first()[0]
+    return Y.read_file(d, path).withColumn("tags", F.array_join("tags", ","))
+
+
+@register("chunk_labels", with_sql("docs chunks", r"SELECT path || '#' || chunk_id AS key, path, split_part(path, '/', 1) AS category, regexp_replace(split_part(path, '/', -1), '\.md$', '') || ' #' || chunk_id AS label, path NOT LIKE 'style/%' AS synced FROM chunks"))
+def chunk_labels(spark, sf_dir):
+    """Keys of chunks taken apart; files of one category stand for the trash."""
+    key = I.chunk_table(knowledge_files(spark, sf_dir)).select(F.concat("path", F.lit("#"), F.col("chunk_id").cast("string")).alias("key"))
+    x = key.withColumn("path", T.chunk_key_path(F.col("key")))
+    trash = F.regexp_replace("path", "^style/", ".trash/")
+    return x.select("key", "path", T.first_segment(F.col("path")).alias("category"), T.chunk_key_label(F.col("key")).alias("label"), (~T.skipped_in_sync(trash)).alias("synced"))

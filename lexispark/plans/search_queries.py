@@ -78,8 +78,7 @@ def postings_path(spark, sf_dir):
 @register("term_idf", with_sql("postings stats", "SELECT term, count(DISTINCT path) AS n, round(ln((any_value(n_docs) - count(DISTINCT path) + 0.5) / (count(DISTINCT path) + 0.5) + 1), 6) AS idf FROM postings, stats GROUP BY term"))
 def term_idf(spark, sf_dir):
     x = _index(spark, sf_dir)
-    df = x.postings.groupBy("term").agg(F.countDistinct("path").alias("n"))
-    return df.crossJoin(F.broadcast(x.stats.select("n_docs"))).select("term", "n", F.round(R.idf(F.col("n_docs"), F.col("n")), 6).alias("idf"))
+    return I.term_documents(x.postings).crossJoin(F.broadcast(x.stats.select("n_docs"))).select("term", "n", F.round(R.idf(F.col("n_docs"), F.col("n")), 6).alias("idf"))
 
 
 @register("tag_index", with_sql("docs", "SELECT DISTINCT unnest(tags) AS tag, path FROM docs"))
@@ -132,8 +131,7 @@ _PRF2 = {**_PRF, "q2": "SELECT term, m FROM q UNION ALL SELECT term, 1 FROM more
 def prf_terms(spark, sf_dir):
     x = _index(spark, sf_dir)
     terms, _ = R.feedback_terms(x, TERMS)
-    df = x.postings.filter(F.col("term").isin(terms)).groupBy("term").agg(F.countDistinct("path").alias("n"))
-    return df.crossJoin(F.broadcast(x.stats.select("n_docs"))).select("term", F.round(R.idf(F.col("n_docs"), F.col("n")), 6).alias("idf"))
+    return I.term_documents(x.postings_of(terms)).crossJoin(F.broadcast(x.stats.select("n_docs"))).select("term", F.round(R.idf(F.col("n_docs"), F.col("n")), 6).alias("idf"))
 
 
 @register("prf_search", with_sql("postings chunks sized stats words", f"SELECT path, chunk_id, round(score, 6) AS score FROM again {_ORDER} LIMIT {TOP}", _PRF2))
@@ -212,6 +210,14 @@ def ask_context(spark, sf_dir):
     return _rounded(R.ordered(hits, "path", "chunk_id").limit(3), "path", "chunk_id")
 
 
+_PREVIEW = r"split_part(regexp_replace(content, '^\s+|\s+$', '', 'g'), chr(10), 1)"
+
+
+@register("tool_search", with_sql("docs postings chunks sized stats", f"SELECT path, round(max(score) * any_value({_REL}), 5) AS score, any_value({_PREVIEW}) AS preview FROM hits JOIN docs USING (path) GROUP BY path", {"q": sql_terms(TERMS), **_BM}))
+def tool_search(spark, sf_dir):
+    return R.tool_search(_index(spark, sf_dir), QUERY, as_of()).select("path", F.round("score", 5).alias("score"), "preview")
+
+
 @register("answer_confidence", "SELECT user_id, count(*) AS n_files, CASE WHEN count(*) > 3 THEN 'high' WHEN count(*) > 1 THEN 'medium' ELSE 'low' END AS confidence FROM events GROUP BY user_id")
 def answer_confidence(spark, sf_dir):
     x = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_files"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lexispark.operators import index as I
 from lexispark.operators import vectors as V
-from lexispark.runtime import read_table
+from lexispark.runtime import read_table, shared_folder
 
 from .catalog import register
 from .corpus import knowledge_files
@@ -61,8 +59,7 @@ def stream_dedup(spark, sf_dir):
 def _folder(spark, name: str) -> str:
     import uuid
 
-    root = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @register("stream_learn")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,18 +13,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` by files that survive the loss of executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only on a local master, as in tests."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="lexispark-")
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary folder is used only where that is unset, as in local tests.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` by files in the shared folder, which survive the loss of executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexispark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """`df` with each row's place, from 0, in a total order.
+
+    Range partitions are numbered by their sizes and rows within them, so no
+    task has all rows, as it would with a window over everything.
+    """
+    x = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    m = F.monotonically_increasing_id()
+    x = checkpointed(x.withColumn("__m", m).withColumn("__part", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m"))
+    sizes = x.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row for each partition
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return x.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__i")).drop("__part", "__i", "__before")
+
+
 #: Rows of at most two longs that may be broadcast: about 100 MB as a hashed relation.
 BROADCAST_ROWS = 1_000_000
 

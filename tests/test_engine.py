@@ -104,7 +104,7 @@ def test_plans(spark):
     got = M.migrate_plan(d).collect()
     assert [(r["source_path"], r["type"], r["target_path"], r["confidence"]) for r in got] == [("x/note-why.md", "consolidate", "decisions/note-why.md", 1.0)]
     after = {r["path"]: r["content"] for r in M.apply_plan(d, M.duplicate_plan(x), F.lit(DAY)).collect()}
-    assert set(after) == {"style/b.md", "goals/c.md", "x/note-why.md", "decisions/note-why.md"} and after["style/b.md"] == f"\n{same} lambda\n\n{same}\n"
+    assert set(after) == {"style/b.md", "goals/c.md", "x/note-why.md", "decisions/note-why.md"} and after["style/b.md"] == f"{same} lambda\n\n---\n\n{same}\n"
     a = {"type": "merge", "source_paths": ["s"], "target_path": "t"}
     assert M.combine_plans([{"type": "move", "source_paths": ["s"], "target_path": "u"}, a, {"type": "consolidate", "source_paths": ["q"], "target_path": "s"}]) == [a]
 
