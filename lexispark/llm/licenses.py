@@ -209,13 +209,34 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(docs, path, (n % 20 == 1) | (n % 4 == 0))
 
 
-def _values(pairs) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)" for x in row) + ")" for row in pairs)
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
 
 
+def _form_sql(license: str) -> str:
+    """Documents with a form of a name. DuckDB's patterns can't look ahead, so what must not follow a number is spelt out."""
+    form, ahead = FORMS[license], "(?! [0-9] )"
+    parts = [f"regexp_matches(flat, ' (?:{form.replace(ahead, '')}) ')"]
+    if ahead in form:
+        versioned, rest = form.split(f"{ahead}|", 1)
+        grant = versioned.index(f"{_GNU.split('{')[0]}")
+        parts = [f"regexp_matches(flat, ' {versioned[:grant]}{versioned[grant:]}) (?:$|[^0-9]|[0-9][^ ])')", f"regexp_matches(flat, ' (?:{versioned[:grant]}{rest}) ')"]
+    return f"SELECT doc_id, '{license}' AS license, 1.0::DOUBLE AS score FROM flat WHERE {' OR '.join(parts)}"
+
+
+_TOKENS = "list_filter(regexp_split_to_array(lower({}), '" + SPLIT + "'), lambda x: x <> '')"
+_NAMED = "list_position([" + ", ".join(f"'{n}'" for n in NAMES) + "], license)"
+
+#: Weights are worked out from the templates in SQL, and so are lines, windows, forms and directories.
 SQL = f"""
-WITH idf(t, i) AS (VALUES {_values(IDF.items())}),
-tpl(license, t, w) AS (VALUES {_values((k, t, w) for k, v in VECTORS.items() for t, w in v.items())}),
+WITH source(license, body) AS (VALUES {_values(TEMPLATES.items())}),
+source_t AS (SELECT license, t, count(*) AS c FROM (SELECT license, unnest({_TOKENS.format("body")}) AS t FROM source) GROUP BY license, t),
+idf AS (SELECT t, round(ln((1.0 + {len(TEMPLATES)}) / (1 + count(*))) + 1, 9) AS i FROM source_t GROUP BY t),
+tpl AS (SELECT license, t, round(c * i / sqrt(sum((c * i) ** 2) OVER (PARTITION BY license)), 9) AS w FROM source_t JOIN idf USING (t)),
+rare AS (SELECT round(ln(1.0 + {len(TEMPLATES)}) + 1, 9) AS r),
+body AS (SELECT license, string_split(must, ' ') AS must, {_TOKENS.format("body")} AS ts FROM (VALUES {_values((k, *v) for k, v in TEXTS.items())}) v(license, must, body)),
+body_w AS (SELECT license, t, coalesce(i, r) AS w FROM (SELECT license, unnest(list_distinct(ts)) AS t FROM body) LEFT JOIN idf USING (t), rare),
+total AS (SELECT license, sum(w) AS total FROM body_w GROUP BY license),
 d AS (
   SELECT doc_id, coalesce(text, '') AS text, doc_id % 20 = 1 OR doc_id % 4 = 0 AS is_file,
     CASE WHEN doc_id % 20 = 1 THEN concat_ws('/', source, (doc_id // 500)::VARCHAR) ELSE concat_ws('/', source, (doc_id // 500)::VARCHAR, (doc_id // 20)::VARCHAR) END AS folder
@@ -223,15 +244,29 @@ d AS (
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d WHERE regexp_matches(text, '{CUE}')),
 cued AS (SELECT doc_id, row_number() OVER () AS n, lower(line) AS line FROM lines WHERE regexp_matches(line, '{CUE}')),
 tok AS (SELECT doc_id, n, unnest(regexp_split_to_array(line, '{SPLIT}')) AS t FROM cued),
-w AS (SELECT doc_id, n, tok.t, count(*) * coalesce(any_value(i), {RARE!r}) AS w FROM tok LEFT JOIN idf USING (t) WHERE tok.t <> '' GROUP BY doc_id, n, tok.t),
+w AS (SELECT doc_id, n, tok.t, count(*) * coalesce(any_value(i), any_value(r)) AS w FROM tok LEFT JOIN idf USING (t), rare WHERE tok.t <> '' GROUP BY doc_id, n, tok.t),
 norm AS (SELECT n, sqrt(sum(w * w)) AS norm FROM w GROUP BY n),
 cosines AS (SELECT doc_id, license, round(sum(w.w * tpl.w) / any_value(norm), 6) AS score FROM w JOIN tpl USING (t) JOIN norm USING (n) GROUP BY doc_id, n, license),
+flat AS MATERIALIZED (SELECT doc_id, ' ' || regexp_replace(lower(text), '{SPLIT}', ' ', 'g') || ' ' AS flat FROM d WHERE regexp_matches(text, '{WIDE_CUE}')),
+forms AS ({" UNION ALL ".join(map(_form_sql, FORMS))}),
+toks AS (SELECT doc_id, list_filter(string_split(flat, ' '), lambda x: x <> '') AS ts FROM flat),
+windows AS (
+  SELECT doc_id, license, i, must, w.ts[i * n + 1 : i * n + 2 * n] AS part FROM (
+    SELECT doc_id, license, must, len(body.ts) AS n, toks.ts, unnest(range(0, len(toks.ts) // len(body.ts) + 1)) AS i FROM toks, body WHERE list_has_all(toks.ts, must)) w),
+shares AS (
+  SELECT doc_id, license, i, round(sum(w) / any_value(total), 6) AS score
+  FROM (SELECT doc_id, license, i, unnest(list_distinct(part)) AS t FROM windows WHERE list_has_all(part, must)) JOIN body_w USING (license, t) JOIN total USING (license) GROUP BY doc_id, license, i),
+texts AS (SELECT doc_id, license, max(score) AS score FROM shares GROUP BY doc_id, license HAVING max(score) >= {CONTAINED}),
+named AS (
+  SELECT doc_id, license, score FROM cosines WHERE score >= {THRESHOLD} UNION ALL SELECT * FROM forms
+  UNION ALL SELECT doc_id, license, score FROM texts WHERE license <> 'BSD-2-Clause' OR doc_id NOT IN (SELECT doc_id FROM texts WHERE license = 'BSD-3-Clause')),
+claims AS (SELECT 1 AS named, * FROM named UNION ALL SELECT 0, doc_id, '{RESERVED}', 1.0 FROM flat WHERE contains(flat, ' {RESERVED_FORM} ')),
 own AS (
-  SELECT doc_id, license, score FROM cosines WHERE score >= {THRESHOLD}
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+  SELECT doc_id, license, score, named FROM claims
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY named DESC, score DESC, {_NAMED}) = 1),
 dirs AS (
   SELECT folder, license, score FROM own JOIN d USING (doc_id) WHERE is_file
-  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, license) = 1),
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY named DESC, score DESC, {_NAMED}) = 1),
 up AS (
   SELECT doc_id, folder, unnest([0, 1, 2, 3]) AS depth FROM d WHERE doc_id NOT IN (SELECT doc_id FROM own)),
 got AS (
