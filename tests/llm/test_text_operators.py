@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import random
 import re
+import string
 import textwrap
 import zlib
 
@@ -69,22 +71,50 @@ def plain_entropy(s, least):
     return (high[0] - secrets.WINDOW, high[-1]) if high else None
 
 
+def plain_found(text):
+    """Spans by entropy, apart from those in spans by pattern."""
+    found, base = [], plain_secrets(text)
+    for run in re.finditer(secrets.CANDIDATE, text):
+        if re.search(secrets.ALLOWED_WHOLE, run[0]):
+            continue
+        cuts = [0, *(x for m in re.finditer(secrets.ALLOWED, run[0]) for x in m.span()), len(run[0])]
+        for a, b in zip(cuts[::2], cuts[1::2]):
+            s, at = run[0][a:b], run.start() + a
+            if re.search("[0-9]", s) and re.search("[A-Za-z]", s):
+                k, least = next((k, least) for k, (pattern, least) in enumerate(secrets.ENTROPY_KINDS.values()) if re.search(pattern, s))
+                w = plain_entropy(s, least)
+                if w and not any(x <= at + w[0] and at + w[1] <= y for x, _, _, y in base):
+                    found.append((at + w[0], 4 + k, list(secrets.ENTROPY_KINDS)[k], at + w[1]))
+    return found
+
+
+def test_secrets_in_long_texts(spark):
+    """Windows in a long mixed run with even and uneven parts, a key glued to an allowed word, and very many matches."""
+    rng = random.Random(3)
+    letters = string.ascii_letters + string.digits + "+/_=-"
+    mixed = "".join("".join(rng.choice(letters[:k]) for _ in range(70)) for k in [2, 67, 5, 30, 1, 67] * 8)
+    key = "".join(rng.choice(letters[:62]) for _ in range(40))
+    many = " ".join(f"password=abc{k:06d} é" for k in range(20_000))
+    texts = ["é " + mixed + " x", f"sample/{key} and {key}_example_{key}", many, "aaaaaaaaaa" + key, "".join(rng.choice(letters[:62]) for _ in range(300_000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for r in secrets.find_secrets(rows).collect():
+        want = plain_secrets(r["text"])
+        assert [tuple(x) for x in r["secret_base"]] == want
+        assert r["doc_id"] in (2, 4) or [tuple(x) for x in r["secret_spans"]] == sorted(want + plain_found(r["text"]))
+        assert r["doc_id"] != 2 or r["secret_spans"] == r["secret_base"]
+        assert r["doc_id"] != 4 or len(r["secret_spans"]) == 1
+        assert r["doc_id"] != 1 or len([x for x in r["secret_spans"] if x["kind"] == "entropy_mixed"]) == 3
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(rows).collect()}
+    assert clean[2] == " ".join(["[REDACTED] é"] * 20_000) and clean[3] == "aaaaaaaaaa[REDACTED]"
+
+
 def test_secrets(spark, docs, empty):
     more = [KEY, "é" + KEY, "secret: token: abcdefgh", "API_KEY=='zzzzzz", "example0123456789abcdefghijk", "aaaaaaaaaaaaaaaaaaaaaaaa1", "AKIA" + "Z9" * 10, "0" * 30, "pAsswd: 1234567\n" * 40]
     df = docs.select("doc_id", "text", F.lit(1).alias("secret_base")).unionByName(spark.createDataFrame([(100 + k, t, 0) for k, t in enumerate(more)], "doc_id long, text string, secret_base int"))
     for r in secrets.find_secrets(df).collect():
         text = r["text"] or ""
         assert [tuple(x) for x in r["secret_base"]] == plain_secrets(text)
-        found = []
-        for m in re.finditer(secrets.CANDIDATE, text):
-            s = m[0]
-            if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and not re.search(secrets.ALLOWED, s):
-                for k, (kind, (pattern, least)) in enumerate(secrets.ENTROPY_KINDS.items()):
-                    if re.search(pattern, s):
-                        w = plain_entropy(s, least)
-                        if w and not any(a <= m.start() + w[0] and m.start() + w[1] <= b for a, _, _, b in plain_secrets(text)):
-                            found.append((m.start() + w[0], 4 + k, kind, m.start() + w[1]))
-                        break
+        found = plain_found(text)
         assert [tuple(x) for x in r["secret_spans"]] == sorted(plain_secrets(text) + found)
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
     assert clean[100].startswith("say [REDACTED]\" and token:ab12 or [REDACTED] then [REDACTED]") and clean[4] == "The quick Fox" and clean[0] is None
@@ -135,6 +165,37 @@ def test_byte_bpe(docs, empty):
     assert byte_bpe.bpe_columns(empty).count() == 0
 
 
+@pytest.mark.parametrize("form", ["{}", "a{}.", "{}a`!"])
+def test_word_encoder_on_every_code_point(form):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), packing.WordEncoder(path)
+    lib.encode_special_tokens = True
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(form.format(chr(c)) for c in points[k : k + 2000]) for k in range(0, len(points), 2000)]
+    for at in range(0, len(texts), 20):
+        some = texts[at : at + 20]
+        want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(some, add_special_tokens=False)]
+        assert own([t.encode() for t in some]) == want
+
+
+def test_byte_bpe_on_long_words():
+    """Many distinct long words, very long ones and repetitions, in bounded memory and as the library codes them."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coder, rng = byte_bpe.WordCoder(path), random.Random(4)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    join = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    han = [chr(c) for c in range(0x4E00, 0x5E00)]
+    words = {join(han, 40) for _ in range(4000)} | {join(string.ascii_lowercase, 250) for _ in range(100)} | {join("ab", k) for k in range(1, 80)}
+    words |= {"x" * k for k in range(1, 200)} | {"x" * 100_000, "ab" * 30_000, join("etaoinshrdlu", 8000), join(han, 3000)}
+    coder.learn(words)
+    for w in words:
+        assert np.frombuffer(coder.known[w][0], "<u4").tolist() == lib._encode_single_piece(w.encode()) and coder.known[w][1] == w.encode()
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
