@@ -262,10 +262,9 @@ def file_listing(spark, sf_dir):
     return Y.file_listing(x.docs, x.documents).withColumns({"tags": F.array_join("tags", ","), "updated": F.col("updated").cast("string")})
 
 
-@register("prompt_context", with_sql("docs", "SELECT row_number() OVER (ORDER BY (category <> 'style')::INT, path) AS position, '### ' || path || chr(10) || CASE WHEN length(content) > 300 THEN content[:300] || '...' ELSE content END || chr(10) AS block FROM docs ORDER BY position LIMIT 60"))
+@register("prompt_context", with_sql("docs", "SELECT row_number() OVER (ORDER BY (category <> 'style')::INT, path) AS position, '### ' || path || chr(10) || CASE WHEN length(content) > 300 THEN content[:300] || '...' ELSE content END || chr(10) AS block FROM docs"))
 def prompt_context(spark, sf_dir):
-    """The first 60 files of a prompt: the report's own limit."""
-    return P.prompt_context(knowledge_files(spark, sf_dir), files=60)
+    return P.prompt_context(knowledge_files(spark, sf_dir))
 
 
 _HEAD = "Read this."

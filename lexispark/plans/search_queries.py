@@ -14,7 +14,6 @@ from .catalog import register
 from .corpus import AS_OF, QUERY, _list, as_of, knowledge_files, sql_bm25, sql_terms, sql_tokens, with_sql
 
 TERMS = T.query_terms(QUERY)
-TOP = 20
 _ORDER = "ORDER BY round(score, 6) DESC, path, chunk_id"
 
 
@@ -99,9 +98,9 @@ def bm25_chunks(spark, sf_dir):
     return _rounded(R.bm25_chunks(_index(spark, sf_dir), TERMS), "path", "chunk_id")
 
 
-@register("bm25_docs", with_sql("postings chunks sized stats", f"SELECT path, round(max(score), 6) AS score FROM hits GROUP BY path ORDER BY score DESC, path LIMIT {TOP}", {"q": sql_terms(TERMS), **_BM}))
+@register("bm25_docs", with_sql("postings chunks sized stats", f"SELECT path, round(max(score), 6) AS score FROM hits GROUP BY path", {"q": sql_terms(TERMS), **_BM}))
 def bm25_docs(spark, sf_dir):
-    return _rounded(R.ordered(R.bm25_docs(_index(spark, sf_dir), TERMS), "path").limit(TOP), "path")
+    return _rounded(R.bm25_docs(_index(spark, sf_dir), TERMS), "path")
 
 
 _FIELDED = ["src3", "opinion", "en", "reer"]
@@ -134,9 +133,9 @@ def prf_terms(spark, sf_dir):
     return I.term_documents(x.postings_of(terms)).crossJoin(F.broadcast(x.stats.select("n_docs"))).select("term", F.round(R.idf(F.col("n_docs"), F.col("n")), 6).alias("idf"))
 
 
-@register("prf_search", with_sql("postings chunks sized stats words", f"SELECT path, chunk_id, round(score, 6) AS score FROM again {_ORDER} LIMIT {TOP}", _PRF2))
+@register("prf_search", with_sql("postings chunks sized stats words", f"SELECT path, chunk_id, round(score, 6) AS score FROM again", _PRF2))
 def prf_search(spark, sf_dir):
-    return _rounded(R.ordered(R.feedback_search(_index(spark, sf_dir), TERMS), "path", "chunk_id").limit(TOP), "path", "chunk_id")
+    return _rounded(R.feedback_search(_index(spark, sf_dir), TERMS), "path", "chunk_id")
 
 
 _REL = f"""(1 + exp(-greatest(DATE '{AS_OF}' - updated, 0) / 90.0) + ln(1.0 + access_count) / 10 + CASE confidence WHEN 'high' THEN 0.3 WHEN 'medium' THEN 0.2 ELSE 0.1 END)"""
@@ -164,13 +163,13 @@ def _vector_hits(spark, sf_dir):
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 
 
-@register("vec_search", f"SELECT a.vec_id, round({_COS}, 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) b WHERE {_COS} > 0 ORDER BY score DESC, vec_id LIMIT {TOP}")
+@register("vec_search", f"SELECT a.vec_id, round({_COS}, 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) b WHERE {_COS} > 0")
 def vec_search(spark, sf_dir):
     from lexispark.operators import vectors as V
 
     e = read_table(spark, sf_dir, "embeddings")
     q = e.orderBy("vec_id").first()["embedding"]
-    return V.cosine_search(e, list(q), "embedding").select("vec_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(TOP)
+    return V.cosine_search(e, list(q), "embedding").select("vec_id", F.round("score", 6).alias("score"))
 
 
 _RRF = {
@@ -180,10 +179,10 @@ _RRF = {
 }
 
 
-@register("rrf_hybrid", with_sql("docs postings chunks sized stats words", f"SELECT path, chunk_id, round(score, 9) AS score FROM fused ORDER BY round(score, 9) DESC, path, chunk_id LIMIT {TOP}", _RRF))
+@register("rrf_hybrid", with_sql("docs postings chunks sized stats words", f"SELECT path, chunk_id, round(score, 9) AS score FROM fused", _RRF))
 def rrf_hybrid(spark, sf_dir):
     hits = R.hybrid_search(_index(spark, sf_dir), TERMS, _vector_hits(spark, sf_dir))
-    return hits.select("path", "chunk_id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "path", "chunk_id").limit(TOP)
+    return hits.select("path", "chunk_id", F.round("score", 9).alias("score"))
 
 
 _TWO = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(score, 6) DESC, chunk_id) AS n FROM again) WHERE n <= 2"

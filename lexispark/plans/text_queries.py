@@ -229,7 +229,10 @@ def _wrapped(spark, sf_dir):
     return c.select("c_custkey", F.concat(F.lit(" Here it is:\n```json\n"), F.to_json(F.array(item, item)), F.lit("\n``` [done]")).alias("raw"))
 
 
-@register("json_array_extract")
+_ITEM = """'{"category":"knowledge","topic":"' || c_name || '","tags":["x]","\\"y["],"content":"[note] \\\\ ' || c_name || '","confidence":"high","action":"create","source":"s"}'"""
+
+
+@register("json_array_extract", f"SELECT c_custkey, '[' || {_ITEM} || ',' || {_ITEM} || ']' AS json FROM customer")
 def json_array_extract(spark, sf_dir):
     return _wrapped(spark, sf_dir).select("c_custkey", T.json_array(F.col("raw")).alias("json"))
 

@@ -9,7 +9,7 @@ from lexispark.operators import vectors as V
 from lexispark.runtime import read_table, shared_folder
 
 from .catalog import register
-from .corpus import knowledge_files
+from .corpus import knowledge_files, with_sql
 from .search_queries import TERMS
 
 #: Least cosine of links here; the embeddings are nearly orthogonal.
@@ -29,7 +29,7 @@ def lsi_search(spark, sf_dir):
     q = V.query_vector(terms, TERMS)
     chunks = V.chunk_vectors(index, terms)
     hits = V.cosine_search(chunks, q) if q else chunks.withColumn("score", F.lit(0.0)).limit(0)
-    return hits.select("path", "chunk_id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "path", "chunk_id").limit(20)
+    return hits.select("path", "chunk_id", F.round("score", 4).alias("score"))
 
 
 @register("pca3d")
@@ -62,7 +62,7 @@ def _folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@register("stream_learn")
+@register("stream_learn", with_sql("docs", r"SELECT path, array_to_string(tags, ',') || ',new' AS tags, strlen(regexp_replace(content, '\n+$', '')) + strlen('  A new line ') AS bytes FROM docs"))
 def stream_learn(spark, sf_dir):
     """A corpus of all files, then a learning for each by stream; the corpus as it is after them."""
     from lexispark.streaming.corpus import Corpus, learn_stream
