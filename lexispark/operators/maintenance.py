@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexispark import schema as S
 from lexispark.functions import text as T
-from lexispark.runtime import ranked
+from lexispark.runtime import checkpointed, ranked
 
 from .components import connected_components
 from .index import Index, term_documents
@@ -67,11 +67,33 @@ def _plan(members: DataFrame, docs: DataFrame, kind: str) -> DataFrame:
     return x.select(F.lit(kind).alias("type"), F.col("path").alias("source_path"), F.col("target").alias("target_path"), "cluster")
 
 
+def twins(docs: DataFrame, group: Column | None = None) -> DataFrame:
+    """(path, rep, copies): files of one text and one list of tags (and one group), which have one vector, by their first path."""
+    key = F.sha2(F.concat_ws("\x1f", group if group is not None else F.lit(""), F.array_join("tags", "\x1e"), "content"), 256)
+    x = docs.select("path", key.alias("key"))
+    classes = x.groupBy("key").agg(F.min("path").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    return x.join(classes, "key").select("path", "rep", "copies")
+
+
+def _alike(vectors: DataFrame, same: DataFrame, threshold: float, group: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Clusters (path, cluster), and (path, pairs, total): how many pairs a representative's similarities stand for and their sum.
+
+    Only representatives are compared; copies follow theirs, so a group of copies isn't listed as pairs.
+    """
+    one = same.filter("path = rep").join(vectors.select("path").distinct(), "path", "left_semi").select("path", "copies")
+    pairs = checkpointed(cosine_pairs(vectors.join(one, "path", "left_semi"), threshold, group))
+    own = same.filter("path <> rep").join(one.select(F.col("path").alias("rep")), "rep", "left_semi").select(F.col("rep").alias("a"), F.col("path").alias("b"))
+    members = clusters(pairs.select("a", "b").unionByName(own))
+    n = one.select(F.col("path").alias("b"), F.col("copies").alias("m"))
+    between = pairs.join(one.withColumnRenamed("path", "a"), "a").join(n, "b").select(F.col("a").alias("path"), (F.col("copies") * F.col("m")).alias("pairs"), F.col("similarity"))
+    within = one.filter("copies > 1").select("path", F.expr("copies * (copies - 1) div 2").alias("pairs"), F.lit(1.0).alias("similarity"))
+    return members, between.unionByName(within).select("path", "pairs", (F.col("pairs") * F.col("similarity")).alias("total"))
+
+
 def duplicate_plan(index: Index, threshold: float = 0.7) -> DataFrame:
     """Merge actions; similarity is the mean over the cluster's pairs that reach the threshold."""
-    pairs = cosine_pairs(document_vectors(index), threshold)
-    members = clusters(pairs)
-    mean = pairs.join(members.withColumnRenamed("path", "a"), "a").groupBy("cluster").agg(F.avg("similarity").alias("similarity"))
+    members, weights = _alike(document_vectors(index), checkpointed(twins(index.docs)), threshold)
+    mean = weights.join(members, "path").groupBy("cluster").agg((F.sum("total") / F.sum("pairs")).alias("similarity"))
     return _plan(members, index.docs, "merge").join(mean, "cluster").drop("cluster")
 
 
@@ -79,7 +101,8 @@ def consolidation_plan(index: Index, small: int = 50, threshold: float = 0.35) -
     """Files under `small` words of one category that are alike."""
     few = index.documents.filter(F.col("word_count") < small).select("path")
     vectors = document_vectors(index).join(few, "path", "left_semi")
-    members = clusters(cosine_pairs(vectors, threshold, F.split("path", "/")[0]))
+    category = F.split("path", "/")[0]
+    members, _ = _alike(vectors, checkpointed(twins(index.docs, category)), threshold, category)
     return _plan(members, index.docs, "consolidate").drop("cluster")
 
 
