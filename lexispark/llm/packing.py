@@ -29,6 +29,14 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+def _ends_in_letter(core: bytes) -> bool:
+    """Whether the tokenizer sees a letter last: it composes and lowers a text before it cuts, and both may put a mark there."""
+    if not core or core[-1] < 128:
+        return core[-1:].isalpha()
+    text = core.decode("utf-8", "replace")
+    return all(x[-1:].isalpha() for x in (text, unicodedata.normalize("NFC", text), unicodedata.normalize("NFC", text).lower(), unicodedata.normalize("NFC", text.lower())))
+
+
 class WordEncoder:
     """Ids of whole texts from those of their words.
 
@@ -68,7 +76,7 @@ class WordEncoder:
         parts, whole = {}, []
         for w in words:
             core = w.rstrip(_TAIL)
-            if core and len(core) < len(w) and core.decode("utf-8", "replace")[-1].isalpha():
+            if len(core) < len(w) and _ends_in_letter(core):
                 parts[w] = core, w[len(core) :]
             else:
                 whole.append(w)
@@ -86,7 +94,7 @@ class WordEncoder:
 
     def _learn_whole(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [k for k, t in enumerate(texts) if _MARK not in t]
+        plain = [k for k, t in enumerate(texts) if _MARK not in t and (t.isascii() or _MARK not in unicodedata.normalize("NFC", t))]
         for k in set(range(len(texts))) - set(plain):
             self.known[words[k]] = np.array(self._ids(texts[k]), "<u4").tobytes()
         groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
@@ -95,8 +103,10 @@ class WordEncoder:
             for group, e in zip(some, self.tokenizer.encode_batch_fast([f" {_MARK} ".join(texts[k] for k in g) for g in some], add_special_tokens=False)):
                 ids = np.array(e.ids, "<u4")
                 parts = np.split(ids, np.flatnonzero(ids == self.mark))
-                if len(parts) != len(group):
-                    raise ValueError("words and marks don't fit")
+                if len(parts) != len(group):  # the mark got into another token
+                    for k in group:
+                        self.known[words[k]] = np.array(self._ids(texts[k]), "<u4").tobytes()
+                    continue
                 for j, (k, x) in enumerate(zip(group, parts)):
                     self.known[words[k]] = (x[1:] if j else x).tobytes()
 
