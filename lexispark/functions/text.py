@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 # Suffixes in the order they are tried, and two lists of stop words.
 SUFFIXES = ("tion", "ment", "ness", "able", "ible", "ies", "ing", "est", "ed", "er", "ly", "s")
-QUERY_STOP_WORDS = "the is a an and or but in on at to for of with by it this that are was be have has had do does did will would could should may might can i me my we you your what how why when where which who about think".split()
-TAG_STOP_WORDS = "the a an and or but in on at to for of with by from up about is are was were be been being have has had do does did will would could should may might must can that this it as if because while when where".split()
+QUERY_STOP_WORDS = ["the", "is", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "it", "this", "that", "are", "was", "be", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can", "i", "me", "my", "we", "you", "your", "what", "how", "why", "when", "where", "which", "who", "about", "think"]
+TAG_STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "can", "that", "this", "it", "as", "if", "because", "while", "when", "where"]
 
 #: What is neither letter nor digit at the edges of words, found in one pass over the text.
 _EDGES = r"(?<!\S)[^\p{L}\p{Nd}\s]+|[^\p{L}\p{Nd}\s]+(?!\S)"

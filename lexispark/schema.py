@@ -3,11 +3,11 @@
 # Fixed values of the data model.
 CATEGORIES = ("identity", "opinions", "style", "decisions", "feedback", "knowledge", "tasks", "expertise", "goals")
 CATEGORY_KEYWORDS = {
-    "identity": "name background role personal bio i me my work job title live born age experience".split(),
-    "opinions": "prefer think believe opinion like dislike love hate feel view perspective rather better worse favor".split(),
-    "style": "style format convention pattern approach structure organize layout naming indent write code".split(),
-    "decisions": "decision chose decided tradeoff why reason because instead choose pick select adopt".split(),
-    "knowledge": "how what fact reference documentation know learn understand concept definition explain guide".split(),
+    "identity": ["name", "background", "role", "personal", "bio", "i", "me", "my", "work", "job", "title", "live", "born", "age", "experience"],
+    "opinions": ["prefer", "think", "believe", "opinion", "like", "dislike", "love", "hate", "feel", "view", "perspective", "rather", "better", "worse", "favor"],
+    "style": ["style", "format", "convention", "pattern", "approach", "structure", "organize", "layout", "naming", "indent", "write", "code"],
+    "decisions": ["decision", "chose", "decided", "tradeoff", "why", "reason", "because", "instead", "choose", "pick", "select", "adopt"],
+    "knowledge": ["how", "what", "fact", "reference", "documentation", "know", "learn", "understand", "concept", "definition", "explain", "guide"],
 }
 K1, B = 1.5, 0.5
 BOOST = {"tag": 3.0, "path": 2.0, "content": 1.0}
