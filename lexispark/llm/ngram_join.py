@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.operators.components import connected_components
-from lexispark.runtime import BROADCAST_ROWS, checkpointed, read_table, small_side
+from lexispark.runtime import BROADCAST_ROWS, checkpointed, read_table, small_batches, small_side
 
-from .text import mix, slices, word_hashes, words
+from .text import let_go, mix, slices, word_hashes, words
 
 N, PERCENT = 5, 75
 #: Longest prefix extension; most shingles whose estimated counts are known when prefixes are chosen.
@@ -65,6 +65,7 @@ def profile(docs: DataFrame, n: int = N) -> DataFrame:
             x, k = x[k > 1], k[k > 1]
             return pa.RecordBatch.from_arrays([_signed(x), pa.nulls(len(x), pa.int64()), pa.array(k), pa.nulls(len(x), pa.int64())], ["id", "size", "h1", "h2"])
 
+        let_go()
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in slices(batch, "text"):
@@ -109,6 +110,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n: int =
 
     def run(batches):
         known, counts = shared.value
+        let_go()
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in slices(batch, "text"):
@@ -187,6 +189,7 @@ def compared(pairs: DataFrame, docs: DataFrame, n: int = N, rest: bool = False)
 
     def run(batches):
         head, last, held = None, None, np.array([], np.uint64)
+        let_go()
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in slices(batch, "text"):
@@ -312,7 +315,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     table gives an empty result. Other columns are not read.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = checkpointed(profile(rows, n))
+    with small_batches(df.sparkSession):
+        seen = checkpointed(profile(rows, n))
     sets = seen.filter(F.col("size").isNotNull())
     tallied = seen.filter(F.col("size").isNull()).groupBy("id").agg(F.sum("h1").alias("k")).filter("k >= 8")
     top = tallied.orderBy(F.desc("k"), "id").limit(FREQUENT).toPandas().sort_values("id", key=lambda x: x.to_numpy().view(np.uint64))
@@ -323,7 +327,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     copies = checkpointed(member.filter("id <> rep").select("id").distinct())
     single = rows.join(small_side(copies), "id", "left_anti").filter(F.col("id").isNotNull())
 
-    shared = checkpointed(shared_postings(prefixes(single, frequent, n, percent)))
+    with small_batches(df.sparkSession):
+        shared = checkpointed(shared_postings(prefixes(single, frequent, n, percent)))
     near = shared.filter((F.col("id") != F.col("head")) & fitting("size", "head_size", percent)).groupBy("id", "head").agg(F.count(F.lit(1)).alias("k"))
     stars = near.groupBy("id").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head")).select(F.col("head").alias("a"), F.col("id").alias("b"))
     ties = checkpointed(compared(checkpointed(stars), single, n).filter(similar(percent)).select("a", "b"))

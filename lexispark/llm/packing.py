@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from array import array
-from collections import OrderedDict
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +14,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexispark.runtime import checkpointed, read_table
+from lexispark.runtime import checkpointed, read_table, small_batches
 
-from .text import slices
+from .text import held, let_go, slices
 
 WINDOW, END = 4096, 2
 #: Words whose ids a worker remembers; older ones are encoded again.
@@ -48,11 +48,12 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own hold memory each
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: OrderedDict[bytes, bytes] = OrderedDict()
+        self.known: dict[bytes, bytes] = {}
         ids = self._ids(f"a {_MARK} a")
         self.mark = ids[len(ids) // 2]
         if self._ids(_MARK) != [self.mark]:
@@ -114,8 +115,8 @@ class WordEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [(t.lower() if t.isascii() else t).split() for t in texts]
         if len(self.known) > MEMORY:
-            for _ in range(MEMORY // 2):
-                self.known.popitem(last=False)
+            for w in list(islice(self.known, len(self.known) - MEMORY // 2)):
+                del self.known[w]
         used = set().union(*split)
         self._learn([w for w in used if w not in self.known])
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
@@ -179,10 +180,11 @@ def cut_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     def run(batches):
         from pyspark import TaskContext
 
+        let_go(keep=("words", tokenizer))
         part = TaskContext.get().partitionId()
         encoder, seen = worker_encoder(tokenizer), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
+            for piece in slices(batch, "text"):
                 out = []
                 for doc, ids in zip(piece.column(0).to_pylist(), encoder(piece.column(1).to_pylist())):
                     ids += END.to_bytes(4, "little")
@@ -201,13 +203,8 @@ def cut_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, part long, local long")
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def worker_encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(("words", path), lambda: WordEncoder(path))
 
 
 def pack(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = WINDOW, with_ids: bool = False) -> DataFrame:
@@ -222,7 +219,8 @@ def pack(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", te
     each. An empty table gives no pieces. Other columns are not read.
     """
     pieces = cut_pieces(df, tokenizer or public_tokenizers.path("word_bpe_49k.json"), id_col, text_col, capacity, with_ids)
-    pieces = checkpointed(pieces if with_ids else pieces.drop("ids"))
+    with small_batches(df.sparkSession):
+        pieces = checkpointed(pieces if with_ids else pieces.drop("ids"))
     by_part = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     before = by_part.select("part", "length", earlier.alias("before"))

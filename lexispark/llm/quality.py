@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexispark.runtime import read_table
 
-from .text import slices
+from .text import let_go, slices
 
 STATS = ("n_bytes", "n_words", "word_len", "upper", "digit", "symbol", "bang", "pipe", "stop", "comma", "high", "distinct", "top", "again", "lines", "line_words", "line_again", "ends_odd")
 #: The most labelled rows that the classifier learns from, by the least hashes of their ids.
@@ -47,6 +47,7 @@ def with_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     @arrow_udf(kind)
     def stats(texts: pa.Array) -> pa.Array:
+        let_go()
         rows = []
         for part in slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t"):
             rows += [text_stats(t) for t in part.column(0).to_pylist()]
@@ -147,13 +148,13 @@ def compiled(bias: float, rules: list[tuple[Rule, float]]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-tree_sum([F.lit(bias), *terms])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Column:
-    """Learn from labelled rows whose crc32(id as text) mod 4 is not 2, `sample` of them at most; null labels don't count."""
-    key = F.col("doc_id")
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, label_id: str = "doc_id") -> Column:
+    """Learn from labelled rows whose crc32(id as text) mod 4 is not 2, `sample` of them at most; null labels don't count, repeated rows count once."""
+    key = F.col(label_id)
     known = labels.filter(F.col("quality").isNotNull() & key.isNotNull() & (F.crc32(key.cast("string")) % 4 != 2)).select(key.alias("__id"), F.col("quality").cast("double").alias("__y"))
     known = known.orderBy(F.xxhash64("__id"), "__y").limit(sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(known), "__id")
-    data = np.array([[y, *s] for y, s in with_stats(rows, "__text").orderBy("__id", "__y").select("__y", "__stats").limit(2 * sample).collect()], float).reshape(-1, 1 + len(STATS))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(known.distinct()), "__id").dropDuplicates(["__id", "__y"])
+    data = np.array([[y, *s] for y, s in with_stats(rows, "__text").orderBy("__id", "__y").select("__y", "__stats").collect()], float).reshape(-1, 1 + len(STATS))
     return compiled(*fit_rules(data[:, 1:], data[:, 0]))
 
 

@@ -46,3 +46,29 @@ def slices(batch, column: str, limit: int = 2 << 20):
         to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """The one large thing that a Python worker keeps from task to task; another takes its place, so that stages don't add up."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go(keep=None) -> None:
+    """Give back what earlier tasks left in this worker, but for one thing that is held: objects, Arrow's pool, free pages of the C library."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for key in [k for k in _HELD if k != keep]:
+        del _HELD[key]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
