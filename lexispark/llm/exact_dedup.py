@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.runtime import checkpointed, read_table, small_side
+from lexispark.runtime import BROADCAST_ROWS, checkpointed, read_table, small_side
 
 from .text import ascii_lower
 
@@ -18,12 +18,13 @@ def content_hash(text: Column) -> Column:
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", hash_of=content_hash) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when their bytes are, after lower-casing A-Z. Rows are
+    Texts are equal when their bytes are, after lower-casing A-Z. Hashes are
+    counted first; only texts whose hash occurs twice travel, and those are
     grouped by (hash, bytes): the hash deals them out, the bytes are compared
     within a hash, so a collision gives two groups. Each map task sends one
     row for a text however often it has it, so a hot group stays small in the
-    shuffle. Members then meet their group by narrow rows, a join that Spark
-    may split where a group is hot.
+    shuffle. Members then meet the groups, which are broadcast if few, else
+    by a join that Spark may split where a group is hot.
 
     keep: "smallest" or "largest" id stays. Null texts are empty texts. Null
     ids count as rows and stay only where a group has no other id. Rows under
@@ -32,15 +33,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     rows = df.select(F.col(id_col).alias("id"), text.alias("body"))
+    rows = rows.select("id", "body", hash_of(F.col("body")).alias("hash"))
     best = {"smallest": F.min, "largest": F.max}[keep]
-    groups = (
-        rows.groupBy(hash_of(F.col("body")).alias("hash"), "body")
-        .agg(F.count(F.lit(1)).alias("group_size"), best("id").alias("keep_id"))
-        .select("hash", F.unhex(F.sha2("body", 256)).alias("digest"), "group_size", "keep_id")
-    )
-    members = rows.select("id", hash_of(F.col("body")).alias("hash"), F.unhex(F.sha2("body", 256)).alias("digest"))
-    return members.join(groups, ["hash", "digest"]).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    digest = F.unhex(F.sha2("body", 256)).alias("digest")
+    twice = checkpointed(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
+    same = rows.join(small_side(twice), "hash", "left_semi").groupBy("hash", "body").agg(F.count(F.lit(1)).alias("group_size"), best("id").alias("keep_id"))
+    groups = checkpointed(same.select("hash", digest, "group_size", "keep_id"))
+    members = rows.select("id", "hash", digest).join(small_side(groups, BROADCAST_ROWS // 4), ["hash", "digest"], "left")
+    keep_id = F.coalesce("keep_id", "id")
+    return members.select(
+        F.col("id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
