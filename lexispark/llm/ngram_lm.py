@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from lexispark.runtime import checkpointed, read_table
 
 from .elias_fano import EliasFano, encode
-from .text import slices, word_hashes, words
+from .text import let_go, slices, word_hashes, words
 
 #: The end of a text as a token (an empty word, which no text holds).
 END = b""
-#: Absolute discount; where nothing else is asked for, n-grams of two and three words that occur less often are left to shorter ones.
-DISCOUNT, LEAST = 0.6, 2
-#: Tokens that a task counts before it passes the counts on; most shards.
-FLUSH, MOST_SHARDS = 2 << 20, 2048
+#: Absolute discount, and how often an n-gram of two or three words must occur to be held: by default all are.
+DISCOUNT, LEAST = 0.6, 1
+#: Tokens that a task counts before it passes the counts on; levels that a worker holds if it can't map their files; shards to an input partition.
+FLUSH, OPEN, SHARDS = 2 << 20, 64, 4
 
 
 # ---- files of the model, in the folder that driver and executors share ----
@@ -34,6 +34,13 @@ def _store(root: str):
     return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
 
 
+def is_local(root: str) -> bool:
+    """Whether the folder is mounted, so that files are mapped and their pages come and go."""
+    from pyarrow import fs
+
+    return isinstance(_store(root)[0], fs.LocalFileSystem)
+
+
 def write_level(root: str, name: str, arrays: dict[str, np.ndarray], **facts) -> None:
     """One file: a JSON header, then the arrays, each at a multiple of 64 bytes. Appears whole or not at all."""
     store, path = _store(root)
@@ -96,11 +103,18 @@ class Trie:
         self.root, self.base = root, np.array(facts["base"], np.int64)
         self.tokens, self.types = facts["tokens"], facts["types"]
         self.nodes, self.width = np.array(facts.get("nodes", [0]), np.int64), facts.get("width", 1)
-        self.open: dict[str, tuple] = {}
+        if self.types >= 2**32 - 1 or int(self.nodes[-1]) * self.width >= 2**63:
+            raise OverflowError(f"{self.types} words and {self.nodes[-1]} pairs don't fit the keys of 64 bits")
+        self.open: OrderedDict[str, tuple] = OrderedDict()
+        self.mapped = is_local(root)
 
     def level(self, kind: str, s: int) -> tuple[dict, dict]:
         key = f"{kind}-{s}"
-        if key not in self.open:
+        if key in self.open:
+            self.open.move_to_end(key)
+        else:
+            while not self.mapped and len(self.open) >= OPEN:
+                self.open.popitem(last=False)
             arrays, facts = read_level(self.root, key)
             for name in facts.get("sequences", ()):
                 arrays[name] = EliasFano({k: arrays[f"{name}.{k}"] for k in ("low", "high", "ones", "shape")})
@@ -237,6 +251,7 @@ def _reduced(blobs: DataFrame, build) -> list:
     """Build each shard's level from its merged counts; rows of facts by shard."""
 
     def run(table: pa.Table) -> pa.Table:
+        let_go()
         shard = table["shard"][0].as_py()
         return pa.table({"shard": pa.array([shard], pa.int32()), "facts": [json.dumps(build(shard, *_merged(table)))]})
 
@@ -418,16 +433,19 @@ def score_texts(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
     Training passes: words are counted and numbered; all texts become numbers
     (a table in the checkpoint folder); pairs, then triples, are counted. Each
     task sends one compact row for a shard, already summed, so a frequent word costs
-    one entry a task. A shard is a range of first words, and there are as many
-    as input partitions (2048 at most), so its memory doesn't grow with the
-    input. Levels are files in the checkpoint folder, mapped by the workers.
+    one entry a task. A shard is a range of first words by hash, and there are four
+    to an input partition, so what one holds doesn't grow with the input but for
+    the successors of its most frequent word, at most as many as there are words. Levels are
+    files in the checkpoint folder, mapped by the workers; where that is an
+    object store, a worker holds the last `OPEN` that it used. Keys that 64 bits can't
+    hold raise an error.
 
     Null and empty texts are an end alone. If no row trains, every token is
     unknown. Repeated rows count and are scored each. Other columns are not read.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learned"))
-    shards = int(min(MOST_SHARDS, max(1, rows.rdd.getNumPartitions())))
+    shards = SHARDS * max(1, rows.rdd.getNumPartitions())
     checkpointed(spark.range(0))  # makes sure of the folder
     root = f"{spark.sparkContext.getCheckpointDir()}/ngrams-{uuid.uuid4().hex}"
     facts = learn_words(rows.filter("learned").select("text"), root, shards)
