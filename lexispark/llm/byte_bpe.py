@@ -13,23 +13,55 @@ from pyspark.sql import functions as F
 
 from lexispark.runtime import read_table
 
-from .text import slices
-
-#: Words whose ids and decoded bytes a worker remembers, words to a recursive query, and bytes above which a word goes alone.
-MEMORY, CHUNK, LONG = 400_000, 50_000, 1024
-
-#: Rows (word, step, pos, token) of a word lead to those of the next step, in
-#: which its leftmost pair of least rank is one token, until no pair is left.
+from .text import held, slices
+
+#: Words whose ids and decoded bytes a worker remembers, and rows that a recursive query may hold, about: 60 bytes each.
+MEMORY, ROWS = 400_000, 2_000_000
+#: Steps that a long word counts for when words are dealt to queries.
+STEPS = 64
+
+#: Rows (word, step, pos, size, token, next, more, rank), pos and size in bytes, next and more being the token and size of
+#: what follows and rank that of the two as a pair, lead to those of the next step, in which a word's
+#: leftmost pair of least rank is one token, until no pair is left or the query's steps are used up.
+#: Further pairs of that rank are what would come next, from the left and without overlaps, so
+#: they are contracted in the same step: up to the first that makes a pair of no greater rank.
 CONTRACT = """
 WITH RECURSIVE steps AS (
-  SELECT word, 0 AS step, pos, token FROM positions
+  SELECT word, 0 AS step, pos, size, token, next, more, rank FROM positions
   UNION ALL
-  (WITH pairs AS (
-    SELECT a.word, min((m.rank::BIGINT << 32) | a.pos) AS best
-    FROM steps a JOIN steps b ON b.word = a.word AND b.pos = a.pos + 1 JOIN merges m ON m.first = a.token AND m.second = b.token
-    GROUP BY a.word)
-  SELECT s.word, s.step + 1, s.pos - (s.pos > best & 4294967295)::INT, CASE WHEN s.pos = best & 4294967295 THEN (best >> 32)::INT ELSE s.token END
-  FROM steps s JOIN pairs p ON p.word = s.word WHERE s.pos <> (best & 4294967295) + 1)
+  (WITH least AS (SELECT word, min(rank) AS rank FROM steps WHERE step < {steps} GROUP BY word HAVING min(rank) IS NOT NULL),
+  found AS MATERIALIZED (SELECT word, rank, pos, size, more FROM steps JOIN least USING (word, rank)),
+  several AS MATERIALIZED (SELECT word, count(*) AS n FROM found GROUP BY word HAVING count(*) > 1),
+  hits AS (
+    SELECT word, rank, pos, size, more, n, row_number() OVER w AS k, lag(pos + size, 1, -1) OVER w = pos AS joined
+    FROM found JOIN several USING (word) WINDOW w AS (PARTITION BY word ORDER BY pos)),
+  runs AS (SELECT *, k - max(CASE WHEN joined THEN 0 ELSE k END) OVER (PARTITION BY word ORDER BY pos) AS place FROM hits),
+  single AS (
+    SELECT word, rank, pos, size, 1 AS k, 1 AS n, size + more AS whole FROM found ANTI JOIN several USING (word)
+    UNION ALL SELECT word, rank, pos, size, k, n, size + more FROM runs WHERE place % 2 = 0),
+  ends AS (
+    SELECT t.word, t.rank, t.pos, t.k, t.n, t.whole, b.next, b.more, b.pos AS gone
+    FROM single t JOIN steps b ON b.word = t.word AND b.pos = t.pos + t.size),
+  open AS (SELECT word, rank, pos, next, k, own FROM ends JOIN early USING (rank) WHERE k < n),
+  stops AS (
+    SELECT word, min(k) AS stop FROM (
+      SELECT word, k FROM open WHERE own
+      UNION ALL SELECT o.word, o.k FROM open o JOIN steps p ON p.word = o.word AND p.pos + p.size = o.pos
+        JOIN merges m ON m.first = p.token AND m.second = o.rank AND m.rank <= o.rank
+      UNION ALL SELECT o.word, o.k FROM open o JOIN merges m ON m.first = o.rank AND m.second = o.next AND m.rank <= o.rank)
+    GROUP BY word),
+  taken AS MATERIALIZED (SELECT ends.* FROM ends LEFT JOIN stops USING (word) WHERE stop IS NULL OR k <= stop),
+  moved AS (
+    SELECT s.word, s.step + 1 AS step, s.pos, coalesce(t.whole, s.size) AS size, coalesce(t.rank, s.token) AS token,
+      CASE WHEN f.rank IS NOT NULL THEN f.rank WHEN t.rank IS NOT NULL THEN t.next ELSE s.next END AS next,
+      CASE WHEN f.rank IS NOT NULL THEN f.whole WHEN t.rank IS NOT NULL THEN t.more ELSE s.more END AS more,
+      s.rank, t.rank IS NOT NULL OR f.rank IS NOT NULL AS changed
+    FROM steps s SEMI JOIN least l ON l.word = s.word
+    LEFT JOIN taken t ON t.word = s.word AND t.pos = s.pos
+    LEFT JOIN taken f ON f.word = s.word AND f.pos = s.pos + coalesce(t.whole, s.size)
+    ANTI JOIN taken g ON g.word = s.word AND g.gone = s.pos)
+  SELECT word, step, pos, size, token, next, more, CASE WHEN changed THEN m.rank ELSE moved.rank END
+  FROM moved LEFT JOIN merges m ON m.first = CASE WHEN changed THEN token END AND m.second = next)
 )
 """
 
@@ -48,81 +80,65 @@ class WordCoder:
         first, second, rank = (pa.array(c, pa.int32()) for c in zip(*merges))
         self._load("merges", {"first": first, "second": second, "rank": rank})
         self._load("vocabulary", {"token": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())})
+        # tokens that may meet a neighbour, or one of their own, in a pair of no greater rank
+        self.db.execute("CREATE TABLE early AS SELECT t AS rank, bool_or(other = t) AS own FROM (SELECT first AS t, second AS other, rank FROM merges UNION ALL SELECT second, first, rank FROM merges) WHERE rank <= t GROUP BY t")
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.pairs = np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32)
 
     def _load(self, name: str, columns: dict) -> None:
         self.db.register("rows_in", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM rows_in")
         self.db.unregister("rows_in")
 
-    def _solve(self, words: list[str]) -> None:
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    def _solve(self, words: list[str], raw: list[bytes]) -> None:
+        """Contract words in recursive queries of so many steps that they hold `ROWS` rows at most; the last step's rows begin the next."""
         size = np.array([len(x) for x in raw])
         whole = np.array([self.ranks.get(x, -1) for x in raw], np.int32)  # a word of the vocabulary is its own token
         word = np.repeat(np.arange(len(raw), dtype=np.int32), size)
         pos = np.arange(len(word), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
-        token, open_ = self.single[np.frombuffer(b"".join(raw), np.uint8)], np.repeat(whole < 0, size)
-        self._load("positions", {"word": word[open_], "pos": pos[open_].astype(np.int32), "token": token[open_]})
-        self._load("wholes", {"word": np.flatnonzero(whole >= 0).astype(np.int32), "token": whole[whole >= 0]})
-        self.db.execute(
-            "CREATE OR REPLACE TABLE tokens AS "
-            + CONTRACT
-            + "SELECT word, pos, token FROM steps QUALIFY step = max(step) OVER (PARTITION BY word) UNION ALL SELECT word, 0, token FROM wholes"
-        )
-        coded = self.db.execute(
-            "SELECT word, list(token ORDER BY pos) AS ids, list(bytes ORDER BY pos) AS parts FROM tokens JOIN vocabulary USING (token) GROUP BY word"
-        ).to_arrow_table()
+        flat, open_ = np.frombuffer(b"".join(raw), np.uint8), np.repeat(whole < 0, size)
+        token, last = self.single[flat], np.zeros(len(flat), bool)
+        last[np.cumsum(size)[size > 0] - 1] = True
+        after = np.append(flat[1:], 0)
+        rank = np.where(last, -1, self.pairs[flat.astype(np.int32) * 256 + after])
+        null = lambda x, where: pa.array(x[open_], pa.int32(), mask=where[open_])
+        ones = np.ones(len(flat), np.int32)
+        self._load("positions", {"word": word[open_], "pos": pos[open_].astype(np.int32), "size": ones[open_], "token": token[open_], "next": null(self.single[after], last), "more": null(ones, last), "rank": null(rank, rank < 0)})
+        self._load("tokens", {"word": np.flatnonzero(whole >= 0).astype(np.int32), "pos": np.zeros(int((whole >= 0).sum()), np.int32), "token": whole[whole >= 0]})
+        while rows := self.db.execute("SELECT count(*) FROM positions").fetchall()[0][0]:
+            steps = max(4, min(1 << 20, ROWS // rows))
+            self.db.execute(
+                "CREATE OR REPLACE TABLE ended AS "
+                + CONTRACT.format(steps=steps)
+                + "SELECT word, step, pos, size, token, next, more, rank FROM steps JOIN (SELECT word, max(step) AS step FROM steps GROUP BY word) USING (word, step)"
+            )
+            self.db.execute(f"INSERT INTO tokens SELECT word, pos, token FROM ended WHERE step < {steps}")
+            self.db.execute(f"CREATE OR REPLACE TABLE positions AS SELECT word, pos, size, token, next, more, rank FROM ended WHERE step = {steps}")
+        coded = self.db.execute("SELECT word, list(token ORDER BY pos) AS ids, list(bytes ORDER BY pos) AS parts FROM tokens JOIN vocabulary USING (token) GROUP BY word").to_arrow_table()
         ids, parts = coded["ids"].combine_chunks(), coded["parts"].combine_chunks()
-        flat, ends = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()
-        bits = parts.flatten().to_pylist()
+        ends, flat, bits = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4").tobytes(), parts.values.cast(pa.large_binary())
+        at = np.frombuffer(bits.buffers()[1], np.int64)[bits.offset : bits.offset + len(bits) + 1][parts.offsets.to_numpy()]
+        data = bits.buffers()[2].to_pybytes() if len(bits) else b""  # an ordered list's bytes lie side by side
         for k, w in enumerate(coded["word"].to_pylist()):
-            a, b = ends[k] - ends[0], ends[k + 1] - ends[0]
-            self.known[words[w]] = flat[a:b].tobytes(), b"".join(bits[a:b])
-
-    def _solve_long(self, word: str) -> None:
-        """One long word, a table for each step instead of all steps' rows.
-
-        A step contracts every pair of least rank, from the left, if no pair of
-        that rank or less is new then or on the way; that is what contracting
-        the leftmost ones in turn comes to. Else it contracts the leftmost.
-        """
-        raw = np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8)
-        self._load("now", {"pos": np.arange(len(raw), dtype=np.int32), "token": self.single[raw]})
-        pairs = "FROM {0} a JOIN {0} b ON b.pos = a.pos + 1 JOIN merges m ON m.first = a.token AND m.second = b.token"
-        least = lambda t: self.db.execute(f"SELECT min(m.rank) {pairs.format(t)}").fetchall()[0][0]
-        while (rank := least("now")) is not None:
-            for one in (False, True):
-                self.db.execute(f"CREATE OR REPLACE TABLE hits AS SELECT a.pos {pairs.format('now')} WHERE m.rank = {rank}")
-                self.db.execute("CREATE OR REPLACE TABLE hits AS SELECT pos FROM (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS run FROM hits) QUALIFY (pos - min(pos) OVER (PARTITION BY run)) % 2 = 0" + " ORDER BY pos LIMIT 1" * one)
-                self.db.execute(f"""
-                    CREATE OR REPLACE TABLE after AS
-                    SELECT (row_number() OVER (ORDER BY n.pos) - 1)::INT AS pos, CASE WHEN h.pos IS NULL THEN token ELSE {rank} END AS token
-                    FROM now n LEFT JOIN hits h USING (pos) ANTI JOIN (SELECT pos + 1 AS pos FROM hits) g ON g.pos = n.pos""")
-                early = self.db.execute(f"SELECT count(*) FROM merges x JOIN merges y ON y.rank = {rank} AND x.first = {rank} AND x.second = y.first WHERE x.rank <= {rank}").fetchall()[0][0]
-                if one or not early and ((new := least("after")) is None or new > rank):
-                    break
-            self.db.execute("CREATE OR REPLACE TABLE now AS SELECT * FROM after")
-        coded = self.db.execute("SELECT token, bytes FROM now JOIN vocabulary USING (token) ORDER BY pos").fetchall()
-        self.known[word] = np.array([t for t, _ in coded], "<u4").tobytes(), b"".join(x for _, x in coded)
+            self.known[words[w]] = flat[4 * ends[k] : 4 * ends[k + 1]], data[at[k] : at[k + 1]]
 
     def learn(self, words: set[str]) -> None:
-        new = sorted(w for w in words if w not in self.known)
-        short = [w for w in new if len(w) <= LONG // 4]
-        for at in range(0, len(short), CHUNK):
-            self._solve(short[at : at + CHUNK])
-        for w in new:
-            if len(w) > LONG // 4:  # in any script at most four bytes a character
-                if (r := self.ranks.get(w.encode("utf-8", "surrogatepass"))) is None:
-                    self._solve_long(w)
-                else:
-                    self._solve([w])
-
-
-_CODERS: dict[str, WordCoder] = {}
+        """Words by length, in queries whose words' squared lengths (a long one's length times `STEPS`) come to `ROWS`, or of one word."""
+        new = sorted((w for w in words if w not in self.known), key=lambda w: (len(w), w))
+        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        some, cost = 0, 0
+        for k, x in enumerate(raw):
+            own = len(x) * min(len(x), STEPS)
+            if k > some and cost + own > 3 * ROWS:
+                self._solve(new[some:k], raw[some:k])
+                some, cost = k, 0
+            cost += own
+        if some < len(raw):
+            self._solve(new[some:], raw[some:])
 
 
 def worker_coder(path: str) -> WordCoder:
-    coder = _CODERS.get(path) or _CODERS.setdefault(path, WordCoder(path))
+    coder = held(("bpe", path), lambda: WordCoder(path))
     if len(coder.known) > MEMORY:
         for w in list(itertools.islice(coder.known, MEMORY // 2)):  # the oldest half
             del coder.known[w]
