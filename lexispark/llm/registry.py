@@ -14,6 +14,9 @@ MODULES = {
     "op6_rule_quality": "quality",
     "op8_exact_dedup": "exact_dedup",
     "op3_secret_scan": "secrets",
+    "op11_decontamination": "decontamination",
+    "op12_importance_sample": "resampling",
+    "op13_collocations": "collocations",
 }
 
 
