@@ -147,7 +147,7 @@ def decontaminate(
     are told apart by id and text, so repeated ids and null ids keep their own results and equal rows have equal ones. An
     empty table of items gives no hits, an empty table of documents no rows. Other columns aren't read.
     """
-    spark = docs.sparkSession
+    spark, shingle = docs.sparkSession, min(shingle, window)
     row_id, text = F.col(id_col), F.col(text_col)
     rows = docs.select(row_id.alias("id"), F.xxhash64(row_id, text).alias("k1"), F.xxhash64(F.lit(WINDOW), text, row_id).alias("k2"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
