@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from lexispark.runtime import BROADCAST_ROWS, checkpointed, read_table, small_batches, small_side
 
-from .text import let_go, mix, slices
-from .tokens import PHRASE, bitmap, in_bitmap, signed, split_words
+from .text import drop_shuffles, let_go, mix, slices
+from .tokens import PHRASE, Words, bitmap, in_bitmap, signed, split_words
 
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 #: Bytes of text in a shard, about: an automaton holds some 40 bytes a word while it is built.
@@ -98,74 +99,68 @@ def _tag(lang: str) -> np.uint64:
     return np.uint64(xxh3_64_intdigest(lang.encode()))
 
 
-def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def _gram_hashes(w: Words, lang: str, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the `length` words that end at each place, and whether they lie in one piece."""
+    h = (w.hashes() ^ _tag(lang))[w.code]
+    before = np.arange(len(h)) - np.maximum.accumulate(np.where(w.begins, np.arange(len(h)), 0))
+    out = h
     with np.errstate(over="ignore"):
-        return mix(mix(first) + second)
+        for _ in range(length - 1):
+            out = mix(mix(np.append(np.uint64(0), out[:-1])) + h)
+    return out, before >= length - 1
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(lang, phrase, hash, n) of single words."""
+def phrase_hashes(phrases: DataFrame, length: int) -> DataFrame:
+    """(hash) of phrases (lang, phrase), as `frequent_runs` finds them in texts."""
 
     def run(batches):
-        let_go()
-        for lang, texts in _shards(batches):
-            w = split_words(texts, PHRASE)
-            n = len(w.vocabulary)
-            columns = [pa.array([lang] * n, pa.string()), w.vocabulary.cast(pa.large_string()).cast(pa.string()), signed(w.hashes() ^ _tag(lang)), pa.array(np.bincount(w.code, minlength=n))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "hash", "n"])
-
-    return rows.mapInArrow(run, "lang string, phrase string, hash long, n long").groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("n"))
-
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            of = langs.indices.to_numpy(zero_copy_only=False)
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                h, whole = _gram_hashes(split_words(batch.column(1).filter(pa.array(of == k)), PHRASE), lang, length)
+                yield pa.RecordBatch.from_arrays([signed(h[whole])], ["hash"])
 
-def _frequent_runs(lang: str, texts: pa.Array, words: np.ndarray):
-    """Vocabulary, codes, begins and hashes of the words that the bitmap holds; a word that it lacks ends a run."""
-    w = split_words(texts, PHRASE)
-    h = w.hashes() ^ _tag(lang)
-    at = np.flatnonzero(in_bitmap(words, h)[w.code])
-    run = np.cumsum(w.begins)[at]  # the number of the piece
-    begins = np.ones(len(at), bool)
-    begins[1:] = (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)
-    return w.vocabulary, w.code[at], begins, h
+    return phrases.select("lang", "phrase").mapInArrow(run, "hash long")
 
 
-def pair_counts(rows: DataFrame, words: np.ndarray) -> DataFrame:
-    """(hash, n) of pairs of frequent words: an upper bound where hashes meet."""
-    shared = rows.sparkSession.sparkContext.broadcast(words)
+def frequent_runs(w: Words, lang: str, length: int, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and begins of runs that hold all phrases of `length` words both of whose shorter parts the bitmap holds.
 
-    def run(batches):
-        let_go()
-        for lang, texts in _shards(batches):
-            _, code, begins, h = _frequent_runs(lang, texts, shared.value)
-            for end, _, count in automaton(code, begins, 2).substrings(2, 2):
-                yield pa.RecordBatch.from_arrays([signed(_pair_hashes(h[code[end - 1]], h[code[end]])), pa.array(count)], ["hash", "n"])
+    Each row of neighbouring parts is a run of its own, so two runs may share words, but no phrase of that length.
+    """
+    h, inside = _gram_hashes(w, lang, length - 1)
+    good = inside & in_bitmap(packed, h)
+    joined = good[1:] & good[:-1] & ~(w.begins[1:] if length == 2 else np.zeros(max(0, len(good) - 1), bool))
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], joined, [False]]).astype(np.int8)))
+    first, last = edge[::2] - (length - 2), edge[1::2]
+    sizes = last - first + 1
+    offsets = np.append(0, np.cumsum(sizes))
+    begins = np.zeros(offsets[-1], bool)
+    begins[offsets[:-1]] = True
+    return w.code[np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first, sizes)], begins
 
-    return rows.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
+def phrase_counts(rows: DataFrame, length: int, packed: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, f) of phrases of `length` words; of two or more, those both of whose shorter parts the bitmap holds."""
+    import pyarrow.compute as pc
 
-def phrase_counts(rows: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int) -> DataFrame:
-    """(lang, phrase, words, f) of phrases of 2 to `longest` words all of whose pairs the bitmap holds."""
-    sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast(words), sc.broadcast(pairs)
+    shared = rows.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
-        import pyarrow.compute as pc
-
         let_go()
         for lang, texts in _shards(batches):
-            vocabulary, code, begins, h = _frequent_runs(lang, texts, shared[0].value)
-            begins = begins.copy()
-            begins[1:] |= ~in_bitmap(shared[1].value, _pair_hashes(h[code[:-1]], h[code[1:]]))
-            alone = begins & np.append(begins[1:], True)
-            code, begins = code[~alone], begins[~alone]
-            for end, length, count in automaton(code, begins, longest).substrings(2, longest):
+            w = split_words(texts, PHRASE)
+            code, begins = frequent_runs(w, lang, length, shared.value) if length > 1 else (w.code, w.begins)
+            for end, _, count in automaton(code, begins, length).substrings(length, length):
                 for lo in range(0, len(end), 100_000):
                     e = end[lo : lo + 100_000]
                     flat = code[(e[:, None] + np.arange(1 - length, 1)).ravel()]
-                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1) * length, pa.int32()), vocabulary.take(pa.array(flat)).cast(pa.large_string()).cast(pa.string()))
-                    columns = [pa.array([lang] * len(e), pa.string()), pc.binary_join(listed, " "), pa.array(np.full(len(e), length, np.int32)), pa.array(count[lo : lo + 100_000])]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"])
+                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1) * length, pa.int32()), w.vocabulary.take(pa.array(flat)).cast(pa.large_string()).cast(pa.string()))
+                    columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(e), np.int32))), pc.binary_join(listed, " "), pa.array(count[lo : lo + 100_000])]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
 
-    return rows.mapInArrow(run, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
+    return rows.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
 def whole(x: str | Column) -> Column:
@@ -193,25 +188,29 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     `longest` words that occur `least` times or more in a language; the score is the least of floor(2000000 a / (l + r)) over
     the cuts into two parts that occur l and r times; of n words in all. What a longer phrase subsumes goes.
 
-    Shards of texts become suffix automata of bounded depth, whose states tell the counts of all substrings; counts are added
-    up by Spark. A frequent phrase has frequent words and pairs only, so three passes narrow down what is counted: words;
-    pairs of frequent words, by a 64-bit hash that may only count too much; phrases as they are. The passes meet in bitmaps of
-    a fixed size (`tokens.BITS`). A word or phrase that all texts have is one row a shard before the shuffle. The first
-    `top` of each task go to a language's last task.
+    Shards of texts become suffix automata of bounded depth, whose states tell the counts of substrings; counts are added up
+    by Spark. Both parts of a frequent phrase that are a word shorter are frequent, so a pass for each length counts only
+    phrases whose parts the bitmap of the pass before holds; bitmaps have a fixed size (`tokens.BITS`) and may only hold too
+    much. A phrase that all texts have is one row a shard before the shuffle, and a pass's shuffle goes before the next. The
+    first `top` of each task go to a language's last task.
 
     Null texts are empty; a null language is `und`. Rows count each, repeated ones too; ids aren't read. An empty table gives
     an empty result. Other columns aren't read.
     """
     rows = df.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     with small_batches(df.sparkSession):
-        single = checkpointed(word_counts(rows))
-        words = single.filter(F.col("n") >= least)
-        known = bitmap(words, "hash")
-        pairs = bitmap(pair_counts(rows, known).filter(F.col("n") >= least), "hash")
-        phrases = checkpointed(phrase_counts(rows, known, pairs, longest).filter(F.col("f") >= least))
-
-    parts = checkpointed(words.select("lang", "phrase", F.col("n").alias("f")).unionByName(phrases.filter(F.col("words") < longest).select("lang", "phrase", "f")))
-    parts = small_side(parts, BROADCAST_ROWS // 8)
+        single = checkpointed(phrase_counts(rows, 1))
+        drop_shuffles(df.sparkSession)
+        levels = [single.filter(F.col("f") >= least).withColumn("words", F.lit(1))]
+        for length in range(2, longest + 1):
+            known = bitmap(phrase_hashes(levels[-1], length - 1), "hash")
+            found = phrase_counts(rows, length, known).filter(F.col("f") >= least)
+            levels.append(checkpointed(found.withColumn("words", F.lit(length))))
+            del found
+            drop_shuffles(df.sparkSession)
+
+    phrases = reduce(DataFrame.unionByName, levels[1:])
+    parts = small_side(checkpointed(reduce(DataFrame.unionByName, levels[:-1]).drop("words")), BROADCAST_ROWS // 8)
     kept = phrases.join(subsumed(phrases, share), ["lang", "phrase"], "left_anti")
     split = F.split("phrase", " ")
     cuts = kept.select("lang", "phrase", F.col("f").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
@@ -222,7 +221,7 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     best = best.select("lang", "phrase", "a", "b.l", "b.r", "b.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     first = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    totals = single.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = single.groupBy("lang").agg(F.sum("f").alias("n"))
     return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
