@@ -246,7 +246,7 @@ def test_language_model(spark, docs, empty):
     rng = np.random.default_rng(2)
     rows = [(k, " ".join(rng.choice(words, 30, p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05])) + " new" * (k % 5 == 0)) for k in range(60)]
     df = docs.select("doc_id", "text").filter("doc_id < 4").unionByName(spark.createDataFrame([(k + 10, t) for k, t in rows], "doc_id long, text string"))
-    got = {r["doc_id"]: r for r in ngram_lm.score_texts(df, F.col("doc_id") % 3 != 0).collect()}
+    got = {r["doc_id"]: r for r in ngram_lm.score_texts(df, F.col("doc_id") % 3 != 0, least=2).collect()}
     tokens = {r["doc_id"]: [*(r["text"] or "").lower().split(), ""] for r in df.collect()}
     count, pairs, triples = {}, {}, {}
     for k, t in tokens.items():
@@ -343,4 +343,4 @@ def test_trie_keeps_single_ngrams(spark):
     triple = lambda p: 1 - d + d * p
     want = np.log10(start) + np.log10(triple(pair(1))) * 2 + np.log10(triple(pair(2)))
     assert got[3]["score"] == pytest.approx(want, abs=0.05) and got[3]["score"] > got[3]["base_score"] + 1
-    assert got[3]["score"] > ngram_lm.score_texts(df, F.col("doc_id") < 3).filter("doc_id = 3").first()["score"] + 0.5
+    assert got[3]["score"] > ngram_lm.score_texts(df, F.col("doc_id") < 3, least=2).filter("doc_id = 3").first()["score"] + 0.5
