@@ -115,10 +115,15 @@ def embedding_texts(docs: DataFrame, chunks: DataFrame, only: DataFrame | None =
 # ---- incremental maintenance ----
 
 
-def manifest(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(path, hash, chunks): the hash covers what is indexed and no access counts, so reading changes nothing."""
+def file_hashes(docs: DataFrame) -> DataFrame:
+    """(path, hash): the hash covers what is indexed and no access counts, so reading changes nothing."""
     whole = F.concat_ws("\x1f", "path", F.array_join("tags", "\x1e"), "content")
-    return docs.select("path", T.content_hash(whole).alias("hash")).join(chunks.groupBy("path").agg(F.count(F.lit(1)).alias("chunks")), "path", "left").fillna(0, ["chunks"])
+    return docs.select("path", T.content_hash(whole).alias("hash"))
+
+
+def manifest(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(path, hash, chunks) of files."""
+    return file_hashes(docs).join(chunks.groupBy("path").agg(F.count(F.lit(1)).alias("chunks")), "path", "left").fillna(0, ["chunks"])
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from lexispark.operators import maintenance as M
 from lexispark.operators import prompts as P
 from lexispark.operators import search as R
 from lexispark.operators import summary as Y
-from lexispark.runtime import read_table
+from lexispark.operators.segments import SegmentedCorpus
+from lexispark.runtime import read_table, scratch
 
 from .catalog import register
 from .corpus import AS_OF, _list, as_of, knowledge_files, sql_tokens, with_sql
@@ -198,7 +199,7 @@ def _earlier(d):
 def _states(spark, sf_dir):
     d = knowledge_files(spark, sf_dir)
     old = _earlier(d)
-    return d, old, I.manifest_diff(I.manifest(old, I.chunk_table(old)), I.manifest(d, I.chunk_table(d)))
+    return d, old, I.manifest_diff(I.file_hashes(old), I.file_hashes(d))
 
 
 @register("manifest_diff", with_sql("docs", "SELECT path, CASE WHEN doc_id % 11 = 3 OR doc_id % 10 = 1 THEN 'dirty' ELSE 'unchanged' END AS state FROM docs UNION ALL SELECT 'tasks/gone-' || doc_id || '.md', 'deleted' FROM docs WHERE doc_id % 13 = 0"))
@@ -218,6 +219,16 @@ def delta_postings(spark, sf_dir):
     return I.delta_index(I.build_index(old, keep=True), d, diff).postings
 
 
+@register("delta_segments", with_sql("postings", "SELECT term, path, field, chunk_id, frequency FROM postings"))
+def delta_segments(spark, sf_dir):
+    """Postings of a corpus on disk in its second version, which wrote what changed; the SQL builds them anew."""
+    d, old, _ = _states(spark, sf_dir)
+    corpus = SegmentedCorpus(spark, scratch(spark, "segments"))
+    corpus.publish(old)
+    corpus.publish(d)
+    return corpus.current().postings
+
+
 @register("vec_merge", "SELECT 'v' || vec_id AS path, 0 AS chunk_id, CASE WHEN vec_id % 5 = 0 THEN 'delta' ELSE 'base' END AS origin FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 5 = 0")
 def vec_merge(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("path"), F.lit(0).alias("chunk_id"), "vec_id")

@@ -67,13 +67,13 @@ def last_exchange(spark, sf_dir):
     return Y.last_exchange(_talks(spark, sf_dir))
 
 
-@register("import_counts", "SELECT count_if(conv_id % 3 > 0) AS processed, count_if(conv_id % 3 = 0) AS unchanged, 0::BIGINT AS empty FROM (SELECT DISTINCT conv_id FROM conversations)")
+@register("import_counts", "SELECT count_if(conv_id % 3 > 0 AND conv_id % 7 <> 2) AS processed, count_if(conv_id % 3 = 0) AS unchanged, 0::BIGINT AS empty, count_if(conv_id % 3 > 0 AND conv_id % 7 = 2) AS failed FROM (SELECT DISTINCT conv_id FROM conversations)")
 def import_counts(spark, sf_dir):
-    """A manifest that knows every third conversation, and the next one by an older hash."""
+    """A manifest that knows every third conversation, and the next one by an older hash; the import of every seventh failed."""
     t = _talks(spark, sf_dir)
     n = F.col("id").cast("long") % 3
     done = t.filter(n < 2).select("id", F.when(n == 0, T.conversation_hash(F.col("messages"))).otherwise("older").alias("hash"))
-    return Y.import_counts(t, done)
+    return Y.import_counts(t, done, t.filter(F.col("id").cast("long") % 7 == 2).select("id"))
 
 
 # ---- task and goal lists, made from orders ----

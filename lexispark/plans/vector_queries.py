@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexispark.operators import index as I
 from lexispark.operators import vectors as V
-from lexispark.runtime import read_table, shared_folder
+from lexispark.runtime import read_table, scratch
 
 from .catalog import register
 from .corpus import knowledge_files, with_sql
@@ -50,24 +50,18 @@ def stream_dedup(spark, sf_dir):
 
     path = f"{sf_dir}/events.parquet"
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
-    out = _folder(spark, "stream")
+    out = scratch(spark, "stream")
     q = without_duplicates(source, "event_id", "ts").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{out}/rows").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _folder(spark, name: str) -> str:
-    import uuid
-
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @register("stream_learn", with_sql("docs", r"SELECT path, array_to_string(tags, ',') || ',new' AS tags, strlen(regexp_replace(content, '\n+$', '')) + strlen('  A new line ') AS bytes FROM docs"))
 def stream_learn(spark, sf_dir):
     """A corpus of all files, then a learning for each by stream; the corpus as it is after them."""
     from lexispark.streaming.corpus import Corpus, learn_stream
 
-    root = _folder(spark, "corpus")
+    root = scratch(spark, "corpus")
     docs = knowledge_files(spark, sf_dir)
     corpus = Corpus(spark, f"{root}/versions")
     corpus.publish(docs)

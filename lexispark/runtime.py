@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,6 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="lexispark-")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of one's own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` by files in the shared folder, which survive the loss of executors."""
     sc = df.sparkSession.sparkContext
