@@ -14,6 +14,8 @@ from .search_queries import TERMS
 
 #: Least cosine of links here; the embeddings are nearly orthogonal.
 LEAST = 0.3
+#: Milliseconds of quiet between bursts of events.
+APART = 6 * 3_600_000
 
 
 @register("lsi_terms")
@@ -56,6 +58,21 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("reindex_debounced", f"""
+WITH e AS (SELECT user_id::VARCHAR AS path, epoch_us(ts) // 1000 AS ms FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ms) AS k FROM (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY path ORDER BY ms) < {APART} THEN 0 ELSE 1 END AS new FROM e))
+SELECT path, min(ms) AS first, max(ms) AS last, count(*) AS signals FROM g GROUP BY path, k HAVING max(ms) + {APART} <= (SELECT max(ms) FROM e)""")
+def reindex_debounced(spark, sf_dir):
+    """Bursts of each user's events with six hours of quiet after them, by a stream with timers."""
+    from lexispark.streaming.debounce import debounced, started
+
+    path, out = f"{sf_dir}/events.parquet", scratch(spark, "bursts")
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    bursts = debounced(source.select(F.col("user_id").cast("string").alias("path"), "ts"), ts="ts", quiet=APART)
+    started(bursts, f"{out}/state", table=f"{out}/rows").awaitTermination()
+    return spark.read.schema(bursts.schema).parquet(f"{out}/rows").select("path", F.unix_millis("first").alias("first"), F.unix_millis("last").alias("last"), "signals")
+
+
 @register("stream_learn", with_sql("docs", r"SELECT path, array_to_string(tags, ',') || ',new' AS tags, strlen(regexp_replace(content, '\n+$', '')) + strlen('  A new line ') AS bytes FROM docs"))
 def stream_learn(spark, sf_dir):
     """A corpus of all files, then a learning for each by stream; the corpus as it is after them."""
