@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from lexispark import schema as S
 from lexispark.functions import text as T
 from lexispark.operators import summary as Y
-from lexispark.runtime import read_table
+from lexispark.runtime import read_table, scratch
 from lexispark.sources import exports as X
+from lexispark.sources.connect import register_sources
 
 from .catalog import register
 
+#: Ids on a saved page of pull requests.
+PAGE = 5000
 
 def _talks(spark, sf_dir):
     """(id, messages) of the conversations, by turn."""
@@ -197,6 +200,25 @@ def pr_learning(spark, sf_dir):
     return X.pull_request_learnings(prs, "a/b_c").select("topic", "content")
 
 
+@register("pr_source", f"""
+SELECT 'github-' || translate(source || '-' || lang, '/_', '--') || '-pr-' || doc_id AS topic,
+  'PR #' || doc_id || ' [' || CASE WHEN doc_id % 3 = 0 THEN 'merged' ELSE 'open' END || '] ' || source || '/' || lang || ' @' || source || ' labels:' || lang || {_CR} || 'https://x/' || doc_id || {_CR}
+  || CASE WHEN b = '' THEN 'no description' WHEN length(b) > 400 THEN b[:400] || '…' ELSE b END || {_CR} AS content
+FROM (SELECT *, trim(text, ' ') AS b FROM documents)""")
+def pr_source(spark, sf_dir):
+    """Documents as pull requests of a repository for each source and language: saved as pages of JSON, then read by the data source."""
+    d, pages = read_table(spark, sf_dir, "documents"), scratch(spark, "pages")
+    pr = F.struct(
+        F.col("doc_id").alias("number"), F.lit("t").alias("title"), F.lit("open").alias("state"), F.when(F.col("doc_id") % 3 == 0, "x").alias("merged_at"), F.concat(F.lit("https://x/"), F.col("doc_id").cast("string")).alias("html_url"),
+        F.col("text").alias("body"), F.struct(F.col("source").alias("login")).alias("user"), F.array(F.struct(F.col("lang").alias("name"))).alias("labels"),
+    )
+    page = d.select(F.concat_ws("/", "source", "lang").alias("repo"), (F.floor(F.col("doc_id") / PAGE) + 1).alias("page"), pr.alias("pr"))
+    page.groupBy("repo", "page").agg(F.to_json(F.collect_list("pr")).alias("value")).write.partitionBy("repo", "page").text(pages)
+    register_sources(spark)
+    prs = spark.read.format("pull_requests").option("path", pages).load()
+    return X.pull_request_learnings(prs, F.col("repo")).select("topic", "content")
+
+
 @register("symbols_regex", "SELECT p_partkey AS part, unnest(['f', 'C', 'g', 'T', 'h', 'm', 'S']) || p_partkey AS name, unnest(['func', 'type', 'func', 'type', 'func', 'method', 'type']) AS kind FROM part")
 def symbols_regex(spark, sf_dir):
     k = F.col("p_partkey").cast("string")

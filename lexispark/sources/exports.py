@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lexispark import schema as S
 
+from .connect import register_sources
+
 FLAT = "array<struct<uuid:string,name:string,chat_messages:array<struct<uuid:string,sender:string,text:string>>>>"
 TREE = "array<struct<id:string,title:string,mapping:map<string,struct<id:string,message:struct<author:struct<role:string>,content:struct<content_type:string,parts:string>>,parent:string,children:array<string>>>>>"
 
@@ -58,14 +60,15 @@ def read_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return x.filter(F.col("_corrupt_record").isNull() & F.col("id").isNotNull()).drop("_corrupt_record")
 
 
-def pull_request_learnings(prs: DataFrame, repo: str) -> DataFrame:
-    """Learnings of (number, title, state, merged_at, html_url, body, user, labels)."""
-    slug = F.translate(F.lit(repo), "/_", "--")
+def pull_request_learnings(prs: DataFrame, repo: str | Column) -> DataFrame:
+    """Learnings of (number, title, state, merged_at, html_url, body, user, labels); `repo` is a name or a column."""
+    repo = F.lit(repo) if isinstance(repo, str) else repo
+    slug = F.translate(repo, "/_", "--")
     labels = F.coalesce("labels", F.array().cast("array<string>"))
     body = F.trim(F.coalesce("body", F.lit("")))
     body = F.when(body == "", "no description").when(F.char_length(body) > 400, F.concat(F.substring(body, 1, 400), F.lit("…"))).otherwise(body)
     status = F.when(F.col("merged_at").isNotNull(), "merged").otherwise(F.col("state"))
-    meta = F.concat(F.format_string("PR #%d [%s] %s @%s", "number", status, F.lit(repo), "user"), F.when(F.size(labels) > 0, F.concat(F.lit(" labels:"), F.array_join(labels, ","))).otherwise(""))
+    meta = F.concat(F.format_string("PR #%d [%s] %s @%s", "number", status, repo, "user"), F.when(F.size(labels) > 0, F.concat(F.lit(" labels:"), F.array_join(labels, ","))).otherwise(""))
     return prs.select(
         F.lit("knowledge").alias("category"), F.concat(F.lit("github-"), slug, F.lit("-pr-"), F.col("number").cast("string")).alias("topic"), F.concat(F.array(F.lit("github"), F.lit("pull-request"), slug), labels).alias("tags"),
         F.concat(meta, F.lit("\n"), "html_url", F.lit("\n"), body, F.lit("\n")).alias("content"), F.lit("high").alias("confidence"), F.lit("create").alias("action"), F.lit("module:github_prs").alias("source"),
@@ -86,18 +89,25 @@ def connector(name: str, description: str):
     return put
 
 
-@connector("github_prs", "pull requests of a repository, from saved JSON lines")
+@connector("github_prs", "pull requests of repositories, from a service, saved pages or saved JSON lines")
 def _pull_requests(spark: SparkSession, options: dict) -> DataFrame:
+    if "repo" not in options:  # a service or pages: all that the data source finds
+        register_sources(spark)
+        return pull_request_learnings(spark.read.format("pull_requests").options(**options).load(), F.col("repo"))
     kind = "number int, title string, state string, merged_at string, html_url string, body string, user struct<login:string>, labels array<struct<name:string>>"
-    x = spark.read.schema(kind).json(options["path"]).limit(int(options.get("limit", 30)))
+    x = spark.read.schema(kind).json(options["path"]).orderBy(F.desc("number")).limit(int(options.get("limit", 30)))
     return pull_request_learnings(x.withColumn("user", F.col("user.login")).withColumn("labels", F.transform("labels", lambda v: v["name"])), options["repo"])
 
 
-@connector("google_sheets", "a range of a sheet, from a saved values response")
+@connector("google_sheets", "a range of a sheet, from a service or a saved values response")
 def _sheet(spark: SparkSession, options: dict) -> DataFrame:
     from lexispark.functions.text import compact_sheet
 
-    x = spark.read.schema("range string, values array<array<string>>").option("multiLine", True).json(options["path"])
+    if "url" in options:
+        register_sources(spark)
+        x = spark.read.format("sheet_values").options(**options).load()
+    else:
+        x = spark.read.schema("range string, values array<array<string>>").option("multiLine", True).json(options["path"])
     sheet = options["sheet"]
     return x.select(
         F.lit("knowledge").alias("category"), F.lit(f"sheet-{sheet}").alias("topic"), F.array(F.lit("google-sheets")).alias("tags"), compact_sheet(F.lit(sheet), F.col("range"), F.col("values")).alias("content"),
