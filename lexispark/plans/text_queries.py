@@ -10,6 +10,8 @@ from lexispark.operators import summary as Y
 from lexispark.runtime import read_table, scratch
 from lexispark.sources import exports as X
 from lexispark.sources.connect import register_sources
+from lexispark.sources.files import read_markdown
+from lexispark.sources.sink import save_files
 
 from .catalog import register
 
@@ -219,6 +221,20 @@ def pr_source(spark, sf_dir):
     return X.pull_request_learnings(prs, F.col("repo")).select("topic", "content")
 
 
+@register("sink_commit", f"""
+SELECT replace(path, '.md', CASE WHEN doc_id % 4 = 1 THEN '-kept.md' ELSE '.md' END) AS path, sha256(CASE WHEN doc_id % 4 = 2 THEN 'second ' ELSE '' END || ltrim(content, {_CR})) AS sha
+FROM (SELECT 'knowledge/doc-' || doc_id || '.md' AS path, doc_id, text AS content FROM documents) WHERE doc_id % 4 > 0""")
+def sink_commit(spark, sf_dir):
+    """All documents as files; then a second write that trashes, moves and replaces some; the files as they are after it."""
+    d, root = read_table(spark, sf_dir, "documents"), scratch(spark, "files")
+    k, path = F.col("doc_id") % 4, F.concat(F.lit("knowledge/doc-"), F.col("doc_id").cast("string"))
+    raw = F.regexp_replace("text", "^\n+", "")
+    save_files(d.select(F.concat(path, F.lit(".md")).alias("path"), raw.alias("raw")), root)
+    moved = d.filter(k == 1).select(F.concat(path, F.lit("-kept.md")).alias("path"), raw.alias("raw"))
+    save_files(d.filter(k != 3).select(F.concat(path, F.lit(".md")).alias("path"), F.when(k == 2, F.concat(F.lit("second "), raw)).alias("raw")).unionByName(moved), root)
+    return read_markdown(spark, root).select("path", F.sha2("content", 256).alias("sha"))
+
+
 @register("symbols_regex", "SELECT p_partkey AS part, unnest(['f', 'C', 'g', 'T', 'h', 'm', 'S']) || p_partkey AS name, unnest(['func', 'type', 'func', 'type', 'func', 'method', 'type']) AS kind FROM part")
 def symbols_regex(spark, sf_dir):
     k = F.col("p_partkey").cast("string")

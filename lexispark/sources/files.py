@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
 
+from .sink import save_files
+
 _HEAD = r"(?s)^---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)"
 CODE = {"go": "go", "ts": "ts", "tsx": "ts", "js": "ts", "jsx": "ts", "py": "py"}
 IGNORED = "node_modules|vendor|\\.git|dist|build|\\.next|__pycache__|\\.venv|venv|target"
@@ -25,10 +27,10 @@ def safe_path(path: Column) -> Column:
 
 
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
-    """Files *.md under `root` but not in .trash/, as rows of the corpus."""
+    """Files *.md under `root` but not in .trash/ or .staged/, as rows of the corpus."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     path = F.regexp_replace(F.regexp_replace("_metadata.file_path", "^[a-z]+:/+", "/"), f"^{re.escape(re.sub('^[a-z]+:/+', '/', root).rstrip('/'))}/", "")
-    return parse_front_matter(files.select(path.alias("path"), F.col("value").alias("raw")).filter(~F.col("path").startswith(".trash/")))
+    return parse_front_matter(files.select(path.alias("path"), F.col("value").alias("raw")).filter(~F.col("path").startswith(".trash/") & ~F.col("path").startswith(".staged/")))
 
 
 def parse_front_matter(files: DataFrame) -> DataFrame:
@@ -56,22 +58,9 @@ def file_text(docs: DataFrame) -> DataFrame:
     return docs.select("path", F.concat(head, F.regexp_replace("content", r"^\n+", "")).alias("raw"))
 
 
-def write_markdown(docs: DataFrame, root: str) -> None:
-    """One file for each row whose path is safe; a file appears whole. `root` is a folder that all executors mount."""
-
-    def put(rows):
-        import os
-        import uuid
-
-        for r in rows:
-            target = os.path.join(root, r["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.{uuid.uuid4().hex}"
-            with open(part, "w", encoding="utf-8", newline="") as f:
-                f.write(r["raw"])
-            os.replace(part, target)
-
-    file_text(docs.filter(safe_path(F.col("path")))).foreachPartition(put)
+def write_markdown(docs: DataFrame, root: str) -> str | None:
+    """One file for each row whose path is safe, all or none of them; what they replace goes to .trash/ under the name that is returned."""
+    return save_files(file_text(docs.filter(safe_path(F.col("path")))), root)
 
 
 def _table(rows: list[list[str]]) -> str:
