@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,18 +154,47 @@ def override_moves(plan: DataFrame, classified: DataFrame, least: float = 0.4) -
     return x.withColumn("target_path", F.when(use, F.concat("category", F.expr("substring(target_path, instr(target_path, '/'))"))).otherwise(F.col("target_path"))).drop("category")
 
 
-def combine_plans(actions: Iterable[dict]) -> list[dict]:
-    """Actions (type, source_paths, target_path) by priority, none touching a file that an earlier one took away.
+#: Types of actions in the order in which they take files.
+PRIORITY = ("merge", "consolidate", "move")
+
+
+def combine_plans(plan: DataFrame) -> DataFrame:
+    """(position, type, source_path, target_path): rows of actions that don't touch a file which an earlier one takes away.
+
+    `plan` has one row (type, source_path, target_path) for each source; those of one type and target are one action, but each
+    move is its own. In order of type, target and first source, an action counts unless one that counts before it has its
+    target or one of its sources as a source; a plan's rows stay or go together. Rows without paths are left out.
 
-    Each action hangs on those before it, so this is a fold over the plan,
-    which a person is to read: it runs on the driver.
+    Instead of one after the other, all actions are decided at once whose rivals are: in a round an action counts if no
+    undecided one before it has any of its files as a source, and goes if one that counts has. The first undecided action is always
+    decided; a plan takes as many rounds as its longest chain of rivals. Rounds are joins on paths against one row a path.
     """
-    rank, taken, out = {"merge": 0, "consolidate": 1, "move": 2}, set(), []
-    for a in sorted(actions, key=lambda a: (rank[a["type"]], a["target_path"], a["source_paths"])):
-        if a["target_path"] not in taken and taken.isdisjoint(a["source_paths"]):
-            taken.update(a["source_paths"])
-            out.append(a)
-    return out
+    x = plan.filter("source_path IS NOT NULL AND target_path IS NOT NULL").select("type", "source_path", "target_path").distinct()
+    own = F.when(F.col("type") == "move", F.col("source_path")).otherwise("").alias("own")
+    place = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("type")).alias("place")
+    x = x.withColumn("own", own)
+    actions = x.groupBy("type", "target_path", "own").agg(F.min("source_path").alias("first")).withColumn("place", place)
+    numbered = checkpointed(ranked(actions, "place", "target_path", "first", "own", name="k").select("type", "target_path", "own", "k"))
+    rows = checkpointed(x.join(numbered, ["type", "target_path", "own"]).drop("own"))
+    sources = rows.select(F.col("source_path").alias("path"), "k")
+    open_ = checkpointed(sources.withColumn("takes", F.lit(True)).unionByName(numbered.select(F.col("target_path").alias("path"), "k", F.lit(False).alias("takes"))))
+    counts, taken = [], None
+    while not open_.isEmpty():
+        first = open_.filter("takes").groupBy("path").agg(F.min("k").alias("first"))
+        seen = open_.join(first, "path", "left")
+        seen = seen.join(taken, "path", "left") if taken is not None else seen.withColumn("by", F.lit(None).cast("long"))
+        dead, waits = F.coalesce(F.col("by") < F.col("k"), F.lit(False)), F.coalesce(F.col("first") < F.col("k"), F.lit(False))
+        verdict = checkpointed(seen.groupBy("k").agg(F.max(dead).alias("dead"), F.max(waits).alias("waits")).filter("dead OR NOT waits"))
+        new = verdict.filter("NOT dead").select("k")
+        counts.append(new)
+        won = open_.filter("takes").join(new, "k", "left_semi").groupBy("path").agg(F.min("k").alias("by"))
+        taken = checkpointed(won if taken is None else taken.unionByName(won).groupBy("path").agg(F.min("by").alias("by")))
+        open_ = checkpointed(open_.join(verdict, "k", "left_anti"))
+    kept = counts[0] if counts else numbered.select("k")
+    for more in counts[1:]:
+        kept = kept.unionByName(more)
+    position = ranked(kept, "k", name="position")
+    return rows.join(position, "k").select("position", "type", "source_path", "target_path")
 
 
 def trust(confidence: Column) -> Column:

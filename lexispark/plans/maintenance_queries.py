@@ -139,9 +139,7 @@ def reorg_combined(spark, sf_dir):
     cols = ["type", "source_path", "target_path"]
     moves = M.recategorize_plan(x.docs).select(F.lit("move").alias("type"), F.col("path").alias("source_path"), "target_path")
     rows = M.duplicate_plan(x).select(cols).unionByName(M.consolidation_plan(x)).unionByName(moves)
-    actions = rows.groupBy("type", "target_path", F.when(F.col("type") == "move", F.col("source_path"))).agg(F.sort_array(F.collect_list("source_path")).alias("source_paths"))
-    plan = M.combine_plans(r.asDict() for r in actions.select("type", "source_paths", "target_path").collect())
-    return spark.createDataFrame([(k, a["type"], a["source_paths"], a["target_path"]) for k, a in enumerate(plan)], "position int, type string, source_paths array<string>, target_path string")
+    return M.combine_plans(rows)
 
 
 _DAYS = f"(DATE '{AS_OF}' - updated)"

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,8 +106,31 @@ def test_plans(spark):
     assert [(r["source_path"], r["type"], r["target_path"], r["confidence"]) for r in got] == [("x/note-why.md", "consolidate", "decisions/note-why.md", 1.0)]
     after = {r["path"]: r["content"] for r in M.apply_plan(d, M.duplicate_plan(x), F.lit(DAY)).collect()}
     assert set(after) == {"style/b.md", "goals/c.md", "x/note-why.md", "decisions/note-why.md"} and after["style/b.md"] == f"{same} lambda\n\n---\n\n{same}\n"
-    a = {"type": "merge", "source_paths": ["s"], "target_path": "t"}
-    assert M.combine_plans([{"type": "move", "source_paths": ["s"], "target_path": "u"}, a, {"type": "consolidate", "source_paths": ["q"], "target_path": "s"}]) == [a]
+
+
+def folded(rows):
+    """Actions one after the other, as a person would read them."""
+    rank, taken, out = {"merge": 0, "consolidate": 1, "move": 2}, set(), []
+    actions = {}
+    for kind, source, target in rows:
+        actions.setdefault((rank[kind], target, source if kind == "move" else "", kind), set()).add(source)
+    for (_, target, _, kind), sources in sorted(actions.items(), key=lambda a: (a[0][:2], min(a[1]), a[0][2])):
+        if target not in taken and taken.isdisjoint(sources):
+            taken |= sources
+            out.append((kind, sources, target))
+    return sorted((k, kind, s, target) for k, (kind, sources, target) in enumerate(out) for s in sources)
+
+
+def test_combined_plans_equal_the_fold(spark):
+    rng, kind = random.Random(9), "type string, source_path string, target_path string"
+    chain = [("move", f"p{k:02d}", f"p{k + 1:02d}") for k in range(6)]
+    plans = [[("move", "s", "u"), ("merge", "s", "t"), ("consolidate", "q", "s")], chain, []]
+    for files in (6, 12, 40):
+        plans.append([(rng.choice(M.PRIORITY), f"f{rng.randrange(files)}", f"f{rng.randrange(files)}") for _ in range(40)])
+    plans.append([("merge", f"hot{k}", "target") for k in range(500)] + [("move", f"hot{k}", f"x/hot{k}") for k in range(500)] + [("move", "target", "y")])
+    for rows in plans:
+        got = M.combine_plans(spark.createDataFrame([*rows, (None, None, "x")], kind)).collect()
+        assert sorted(map(tuple, got)) == folded(set(rows))
 
 
 def test_recategorize_boundary(spark):
