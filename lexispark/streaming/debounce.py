@@ -34,7 +34,7 @@ def joined(bursts: list[tuple[int, int, int]], quiet: int, restart: bool) -> lis
 
 
 class Debouncer(StatefulProcessor):
-    """Keeps a path's open bursts and a timer for each; a burst is a row when its timer goes off.
+    """Keeps a path's open bursts and one timer, for the first that will be over; a burst is a row when the time has come.
 
     With times of their own (event time) signals may come in any order within the watermark: bursts that a late
     signal ties together become one. Without, a signal counts as of when it is processed.
@@ -55,11 +55,13 @@ class Debouncer(StatefulProcessor):
         return (burst[1] if self.restart else burst[0]) + self.quiet
 
     def _hold(self, before: list, after: list) -> None:
-        ends = {self._end(b) for b in after}
-        for end in {self._end(b) for b in before} - ends:
-            self.handle.deleteTimer(end)
-        for end in ends - {self._end(b) for b in before}:
-            self.handle.registerTimer(end)
+        """Keep `after`, with one timer for the path: that of the burst that is over first."""
+        was, now = (min((self._end(b) for b in x), default=None) for x in (before, after))
+        if was != now:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if now is not None:
+                self.handle.registerTimer(now)
         if after:
             self.open.update(tuple(list(x) for x in zip(*after)))
         else:
@@ -82,13 +84,10 @@ class Debouncer(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until, held = expiredTimerInfo.getExpiryTimeInMs(), self._held()
+        held, until = self._held(), expiredTimerInfo.getExpiryTimeInMs()
+        until = max(until, timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs())
         over = [b for b in held if self._end(b) <= until]
-        left = [b for b in held if self._end(b) > until]
-        if left:
-            self.open.update(tuple(list(x) for x in zip(*left)))
-        else:
-            self.open.clear()
+        self._hold([], [b for b in held if self._end(b) > until])  # the timer that went off is gone
         if over:
             yield self._rows(key, over)
 
