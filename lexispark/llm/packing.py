@@ -45,14 +45,19 @@ class WordEncoder:
     a call, apart by a mark; words that hold the mark are encoded alone. A
     word of letters and closing punctuation is two pieces to the tokenizer,
     so the two are looked up apart, and letters go to its model directly.
+
+    With `special` a special token that a text spells out is that token, as
+    the library has it by default; a word that holds one is encoded alone.
+    Without, its characters are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own hold memory each
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.known: dict[bytes, bytes] = {}
         ids = self._ids(f"a {_MARK} a")
         self.mark = ids[len(ids) // 2]
@@ -62,6 +67,14 @@ class WordEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _spelt(self, text: bytes) -> bool:
+        return any(s in text for s in self.special)
+
+    def _lowered(self, text: bytes) -> bytes:
+        """ASCII in lower case, so that fewer words differ; but a special token counts only as it is spelt."""
+        low = text.lower() if text.isascii() else text
+        return text if self._spelt(low) else low
+
     def _letters(self, text: str) -> bytes | None:
         """Ids of a run of letters straight from the model, which is what the whole chain comes to; None for any other text."""
         if not text.isalpha() or not unicodedata.is_normalized("NFC", text):
@@ -77,7 +90,7 @@ class WordEncoder:
         parts, whole = {}, []
         for w in words:
             core = w.rstrip(_TAIL)
-            if len(core) < len(w) and _ends_in_letter(core):
+            if len(core) < len(w) and _ends_in_letter(core) and not self._spelt(w):
                 parts[w] = core, w[len(core) :]
             else:
                 whole.append(w)
@@ -95,7 +108,7 @@ class WordEncoder:
 
     def _learn_whole(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [k for k, t in enumerate(texts) if _MARK not in t and (t.isascii() or _MARK not in unicodedata.normalize("NFC", t))]
+        plain = [k for k, t in enumerate(texts) if _MARK not in t and (t.isascii() or _MARK not in unicodedata.normalize("NFC", t)) and not self._spelt(words[k])]
         for k in set(range(len(texts))) - set(plain):
             self.known[words[k]] = np.array(self._ids(texts[k]), "<u4").tobytes()
         groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
@@ -113,7 +126,7 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [(t.lower() if t.isascii() else t).split() for t in texts]
+        split = [self._lowered(t).split() for t in texts]
         if len(self.known) > MEMORY:
             for w in list(islice(self.known, len(self.known) - MEMORY // 2)):
                 del self.known[w]
@@ -170,7 +183,7 @@ def plan_windows(counts: dict[int, int], capacity: int = WINDOW) -> list[tuple[i
     return plan
 
 
-def cut_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def cut_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = WINDOW, with_ids: bool = False, special: bool = True) -> DataFrame:
     """Encode each text, append the end id, and cut at multiples of `capacity`.
 
     Also numbers the pieces of each length within their partition (part, local).
@@ -180,9 +193,9 @@ def cut_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     def run(batches):
         from pyspark import TaskContext
 
-        let_go(keep=("words", tokenizer))
+        let_go(keep=("words", tokenizer, special))
         part = TaskContext.get().partitionId()
-        encoder, seen = worker_encoder(tokenizer), np.zeros(capacity + 1, np.int64)
+        encoder, seen = worker_encoder(tokenizer, special), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for piece in slices(batch, "text"):
                 out = []
@@ -203,22 +216,23 @@ def cut_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, part long, local long")
 
 
-def worker_encoder(path: str) -> WordEncoder:
-    return held(("words", path), lambda: WordEncoder(path))
+def worker_encoder(path: str, special: bool = True) -> WordEncoder:
+    return held(("words", path, special), lambda: WordEncoder(path, special))
 
 
-def pack(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = WINDOW, with_ids: bool = False, special: bool = True) -> DataFrame:
     """Pack the tokens of all rows into sequences of at most `capacity` ids.
 
     One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset, and ids (little-endian unsigned 32-bit) if asked for. Texts are
+    offset, and ids (little-endian unsigned 32-bit) if asked for. `special`
+    tells whether special tokens spelt out in a text are read as such. Texts are
     cut at multiples of the capacity; the histogram of the lengths, which has
     `capacity` entries at most, is planned on the driver, and each piece finds
     its place by its rank among the pieces of its length. Null and empty
     texts are the end id alone. Rows that repeat, or share an id, are packed
     each. An empty table gives no pieces. Other columns are not read.
     """
-    pieces = cut_pieces(df, tokenizer or public_tokenizers.path("word_bpe_49k.json"), id_col, text_col, capacity, with_ids)
+    pieces = cut_pieces(df, tokenizer or public_tokenizers.path("word_bpe_49k.json"), id_col, text_col, capacity, with_ids, special)
     with small_batches(df.sparkSession):
         pieces = checkpointed(pieces if with_ids else pieces.drop("ids"))
     by_part = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))

@@ -171,7 +171,6 @@ def test_word_encoder_on_every_code_point(form):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     lib, own = Tokenizer.from_file(path), packing.WordEncoder(path)
-    lib.encode_special_tokens = True
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts = [" ".join(form.format(chr(c)) for c in points[k : k + 2000]) for k in range(0, len(points), 2000)]
     for at in range(0, len(texts), 20):
@@ -180,6 +179,22 @@ def test_word_encoder_on_every_code_point(form):
         assert own([t.encode() for t in some]) == want
 
 
+@pytest.mark.parametrize("special", [True, False])
+def test_special_tokens_in_texts(special):
+    """As the library reads them, in any surroundings; in another case they are text."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), packing.WordEncoder(path, special)
+    lib.encode_special_tokens = not special
+    names = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "endoftext|>", "<|end oftext|>"]
+    around = ["{}", "Some Words {} after", "a{}b", "it's{}'s.", "{}!", "({}).", "{0}{0}", "`{}`", "É{}é", "e{}\u0301", "x{}\u0338 y", "<{}>", "1{}2", "\u3000{}\u00a0z"]
+    texts = [f.format(n) for n in names for f in around]
+    want = [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own([t.encode() for t in texts]) == want
+    assert own([" ".join(texts).encode()]) == [np.array(lib.encode(" ".join(texts), add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_byte_bpe_on_long_words():
     """Many distinct long words, very long ones and repetitions, in bounded memory and as the library codes them."""
     import tiktoken
@@ -200,7 +215,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     got = packing.pack(docs, with_ids=True).collect()
     fill = {}
