@@ -184,20 +184,24 @@ def scan_licenses(df: DataFrame, path: Column, is_licence_file: Column, id_col:
     A file's own license is that of its best match. A directory's license is
     that of the licence file directly in it (of several, one that names a
     license, then the highest score, then the first license by name). Other files take that of
-    the nearest directory above them. Directories that have a license join
-    the ancestors of files; a hot directory's rows may be split by Spark, and the aggregations
-    combine before the shuffle. Null texts and paths are empty; ids and rows
-    that repeat are separate rows as long as they differ in id or path. An
+    the nearest directory above them. Only distinct directories meet their
+    ancestors, so the root is met once for each directory and not for each
+    file; files then join their directory's verdict, of which there is one, so that Spark may
+    split a hot directory's files. Null texts and paths are empty. Rows that
+    repeat are a row each, with or without a license and an id. An
     empty table gives an empty result.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(is_licence_file, F.lit(False)).alias("is_file"), own_license(F.coalesce(F.col(text_col), F.lit(""))).alias("own"))
-    folder = F.element_at(ancestors(F.col("path")), -1)["dir"]
-    dirs = rows.filter("is_file AND own IS NOT NULL").groupBy(folder.alias("dir")).agg(F.max("own").alias("given"))
-    open_ = rows.filter("own IS NULL").select("id", "path", F.explode(ancestors(F.col("path"))).alias("up")).select("id", "path", "up.depth", "up.dir")
-    nearest = open_.join(dirs, "dir", "left").groupBy("id", "path").agg(F.max(F.when(F.col("given").isNotNull(), F.struct("depth", "dir", "given"))).alias("got"))
-    own = rows.filter("own IS NOT NULL").select("id", "path", F.col("own.license").alias("license"), F.col("own.score").alias("score"), F.lit("own").alias("origin"), F.lit(None).cast("string").alias("from_dir"))
-    rest = nearest.select("id", "path", F.col("got.given.license").alias("license"), F.col("got.given.score").alias("score"), F.when(F.col("got").isNull(), "none").otherwise("inherited").alias("origin"), F.col("got.dir").alias("from_dir"))
-    return own.unionByName(rest).withColumnRenamed("id", id_col)
+    rows = rows.withColumn("ups", ancestors(F.col("path"))).withColumn("folder", F.element_at("ups", -1)["dir"])
+    dirs = rows.filter("is_file AND own IS NOT NULL").groupBy(F.col("folder").alias("dir")).agg(F.max("own").alias("given"))
+    folders = df.select(ancestors(F.coalesce(path, F.lit(""))).alias("ups")).select(F.element_at("ups", -1)["dir"].alias("folder"), "ups").distinct()
+    above = folders.select("folder", F.explode("ups").alias("up")).select("folder", "up.depth", "up.dir")
+    nearest = above.join(dirs, "dir").groupBy("folder").agg(F.max(F.struct("depth", "dir", "given")).alias("got"))
+    found = rows.join(nearest, "folder", "left")
+    origin = F.when(F.col("own").isNotNull(), "own").when(F.col("got").isNotNull(), "inherited").otherwise("none")
+    best = F.coalesce("own", "got.given")
+    from_dir = F.when(F.col("own").isNull(), F.col("got.dir"))
+    return found.select(F.col("id").alias(id_col), "path", best["license"].alias("license"), best["score"].alias("score"), origin.alias("origin"), from_dir.alias("from_dir"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,6 +331,20 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty, F.lit(None).cast("string"), F.lit(None).cast("boolean")).count() == 0
 
 
+def test_licenses_keep_every_row(spark):
+    """Repeated rows, null ids and paths, directories with several licence files."""
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [(1, "a/f", "code")] * 3 + [(2, "a/g", mit)] * 2 + [(None, "a/h", None)] * 2 + [(None, None, "x"), (3, "a/LICENSE", mit), (4, "a/b/LICENSE", mit), (4, "a/b/LICENSE", apache), (5, "a/b/c/d", ""), (6, "top", mit), (None, "ab/x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("id", F.lit("clash")).repartition(3)
+    found = licenses.scan_licenses(df, F.col("path"), F.col("path").endswith("LICENSE")).collect()
+    got = sorted(((str(r["doc_id"]), r["path"], str(r["license"]), r["origin"], r["from_dir"]) for r in found), key=lambda x: tuple(map(str, x)))
+    both = max(("Apache-2.0", "MIT"), key=lambda k: -licenses.NAMES.index(k))  # both score 1: the first by name
+    want = [("1", "a/f", "MIT", "inherited", "a")] * 3 + [("2", "a/g", "MIT", "own", None)] * 2 + [("None", "a/h", "MIT", "inherited", "a")] * 2
+    want += [("None", "", "None", "none", None), ("3", "a/LICENSE", "MIT", "own", None), ("4", "a/b/LICENSE", "MIT", "own", None), ("4", "a/b/LICENSE", "Apache-2.0", "own", None)]
+    want += [("5", "a/b/c/d", both, "inherited", "a/b"), ("6", "top", "MIT", "own", None), ("None", "ab/x", "None", "none", None)]
+    assert got == sorted(want, key=lambda x: tuple(map(str, x)))
+
+
 def test_license_forms_and_texts(spark):
     """What no single line with a cue tells at the threshold."""
     flow = lambda t, mark: textwrap.fill(" ".join(t.split()), 60, initial_indent=mark, subsequent_indent=mark)
