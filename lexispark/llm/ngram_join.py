@@ -270,6 +270,23 @@ def references(named: DataFrame, ties: DataFrame) -> DataFrame:
     return main.join(centres, "group", "left").select(F.coalesce("a", "group").alias("a"), F.col("id").alias("b"))
 
 
+def widened(known: DataFrame) -> DataFrame:
+    """`known` with each reference taken to hold also what over half of its documents have beyond it, if these are `HOT` or more.
+
+    Whatever set a reference is, what two documents share is at most the lesser
+    of their overlaps with it and what they share outside. So any set may be
+    added, if overlaps and rests are counted anew. A shingle that the
+    centre happens to lack thus is no list of nearly all its documents. What is added to a
+    reference is at most twice its documents' mean rest.
+    """
+    held = known.select("ref", F.explode("rest").alias("shingle")).groupBy("ref", "shingle").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= HOT)
+    sizes = known.groupBy("ref").agg(F.count(F.lit(1)).alias("of"))
+    more = held.join(sizes, "ref").filter("2 * k > of").groupBy("ref").agg(F.collect_list("shingle").alias("more"))
+    left = F.when(F.col("more").isNull(), F.col("rest")).otherwise(F.array_except("rest", "more"))
+    out = known.join(more, "ref", "left").withColumn("left", left).withColumn("o", F.col("o") + F.size("rest") - F.size("left"))
+    return out.drop("rest", "more").withColumnRenamed("left", "rest")
+
+
 def by_reference(known: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of documents with one reference whose overlap may suffice; `known` has id, group, ref, size, o and rest.
 
@@ -301,13 +318,14 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     1. each document is compared with the head it shares most prefix
        shingles with, which ties near copies together;
     2. documents of long lists that still hold several groups are compared
-       with the centre of the group that they meet most (`references`); two
+       with the centre of the group that they meet most (`references`), which
+       then stands for what most of them hold besides (`widened`); two
        with one centre need a comparison only as `by_reference` says;
     3. in each list, documents of different groups and centres are compared
        if they have enough matches.
     Pairs inside a group need no comparison. What remains quadratic is the
     number of documents of different groups that share a rare shingle, or one
-    that their common centre lacks.
+    that their common centre lacks and at most half of its documents hold.
 
     Null and empty texts have no shingles and no links. Ids name documents:
     rows under one id should have one text, and repeated rows share a verdict;
@@ -342,7 +360,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     second = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(seen_by.filter(similar(percent)).select("a", "b")))
     self = refs.filter("a = b").join(member.filter("id = rep").distinct(), F.col("id") == F.col("a")).select("a", "b", F.col("size").cast("long").alias("size"), F.col("size").cast("long").alias("o"), F.array().cast("array<long>").alias("rest"))
     known = seen_by.filter("2 * common >= size_b").select("a", "b", F.col("size_b").alias("size"), F.col("common").alias("o"), "rest").unionByName(self)
-    known = checkpointed(grouped(known.select(F.col("b").alias("id"), F.col("a").alias("ref"), "size", "o", "rest"), second))
+    known = checkpointed(widened(grouped(known.select(F.col("b").alias("id"), F.col("a").alias("ref"), "size", "o", "rest"), second)))
 
     pair = [F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")]
     placed = grouped(lists, second).join(small_side(known.select("id", "ref")), "id", "left")

@@ -85,6 +85,47 @@ def test_ngram_join_of_one_large_group(spark):
     assert ngram_join.keep_one_of_each(df).filter("doc_id IS NULL").count() == 3
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_centre_that_lacks_what_its_group_holds(spark, monkeypatch, seed):
+    """Documents know a centre that misses passages of most of them; no link is lost, and such a passage is no list."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("xyzuvw") + str(rng.randrange(3000))
+    base, gap, other = [word() for _ in range(100)], [word() for _ in range(12)], [word() for _ in range(14)]
+    rows = [base]
+    for k in range(140):
+        w = base[:50] + gap + base[50:] if k % 5 else base[:30] + other + base[30:]
+        for _ in range(rng.randrange(12)):
+            w[rng.randrange(len(w))] = word()
+        rows.append(w + [word() for _ in range(rng.choice([0, 0, 10, 30, 45]))])
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    want = plain_components(rows)
+    assert len({c for _, c in want.values()}) > 10
+    lists, widened = [], ngram_join.widened
+
+    def watched(known):
+        out = widened(known).cache()
+        total = lambda x: x.agg(F.sum("o"), F.sum(F.col("o") + F.size("rest"))).first()
+        most = lambda x: x.select("ref", F.explode("rest").alias("s")).groupBy("ref", "s").count().agg(F.max("count")).first()[0]
+        lists.append((total(known), total(out), most(known), most(out), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "widened", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(df).collect()} == want
+    (before, after, long_before, long_after, n), = lists
+    assert before[1] == after[1] and before[0] <= after[0] and long_after <= max(long_before, 0) and n > 0
+
+
+def test_widened_references(spark, monkeypatch):
+    """What over half of a reference's documents hold counts as the reference's; documents without a rest stay."""
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    rows = [(1, 1, 9, 20, 20, []), (2, 2, 9, 20, 17, [1, 2, 3]), (3, 3, 9, 19, 17, [1, 2]), (4, 4, 9, 21, 18, [1, 5, 6]), (5, 5, 8, 10, 8, [1, 7]), (6, 6, None, 5, 4, [1])]
+    known = spark.createDataFrame(rows, "id long, group long, ref long, size long, o long, rest array<long>")
+    got = {r["id"]: (r["o"], sorted(r["rest"])) for r in ngram_join.widened(known).collect()}
+    assert got == {1: (20, []), 2: (18, [2, 3]), 3: (18, [2]), 4: (19, [5, 6]), 5: (8, [1, 7]), 6: (4, [1])}
+    assert ngram_join.widened(known.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
