@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections import deque
+from concurrent.futures import Future
+from queue import SimpleQueue
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,20 +108,75 @@ def cosine_search(vectors: DataFrame, query: list[float], vec: str = "vec") -> D
     return vectors.withColumn("score", dot(unit(F.col(vec).cast("array<double>")), q)).filter("score > 0")
 
 
-def external_embeddings(texts: DataFrame, embed, batch: int = 20) -> DataFrame:
-    """(path, chunk_id, content_hash, vec) by `embed` (texts to vectors), so many at a time in every task; vec is null where the service failed."""
+def answers(requests, embed, workers: int, until: float | None):
+    """(request, its vectors or None) in the order of `requests`, up to `workers` of which are with `embed` at a time.
+
+    A request is (what the caller wants back, texts). None stands for a
+    service that failed (any OSError, so also one that timed out) or had not
+    answered by `until`, in seconds since 1970; after that none is sent. Other
+    errors are the caller's. Requests are read as answers are taken, twice
+    `workers` ahead. The threads are daemons, as one that hangs must not keep
+    a task or its process.
+    """
+    todo, waiting, closed, started = SimpleQueue(), deque(), threading.Event(), 0
+
+    def left() -> float | None:
+        return None if until is None else max(0.0, until - time.time())
+
+    def work() -> None:
+        while (job := todo.get()) is not None:
+            answer, texts = job
+            try:
+                answer.set_result(None if closed.is_set() or left() == 0 else embed(texts))
+            except OSError:
+                answer.set_result(None)
+            except BaseException as e:  # noqa: BLE001  raised where the answer is taken
+                answer.set_exception(e)
+
+    def first():
+        request, n, answer = waiting.popleft()
+        try:
+            vectors = answer.result(left())
+        except TimeoutError:
+            vectors = None
+        if vectors is not None and len(vectors) != n:
+            raise ValueError(f"{len(vectors)} vectors for {n} texts")
+        return request, vectors
+
+    try:
+        for request, texts in requests:
+            if started < workers:
+                threading.Thread(target=work, daemon=True).start()
+                started += 1
+            answer: Future = Future()
+            waiting.append((request, len(texts), answer))
+            todo.put((answer, texts))
+            if len(waiting) >= 2 * workers:
+                yield first()
+        while waiting:
+            yield first()
+    finally:
+        closed.set()
+        for _ in range(started):
+            todo.put(None)
+
+
+def external_embeddings(texts: DataFrame, embed, batch: int = 20, workers: int = 12, until: float | None = None) -> DataFrame:
+    """(path, chunk_id, content_hash, vec) by `embed` (texts to vectors): requests of `batch` texts, `workers` of them at a time in every task.
+
+    Rows keep their order. vec is null where the service failed or had not
+    answered by `until` (seconds since 1970, one end for the whole job and for tasks
+    that run again), so what came in time is a partial result, and the rest
+    can be asked for later. Tasks times workers is what the service meets.
+    """
 
     def run(frames):
         import pandas as pd
 
-        for f in frames:
-            for at in range(0, len(f), batch):
-                part = f.iloc[at : at + batch]
-                try:
-                    vectors = [list(map(float, v)) for v in embed(part["text"].tolist())]
-                except OSError:  # a service that doesn't answer: these rows can be asked for again
-                    vectors = [None] * len(part)
-                yield pd.DataFrame({"path": part["path"], "chunk_id": part["chunk_id"], "content_hash": part["content_hash"], "vec": vectors})
+        parts = (f.iloc[at : at + batch] for f in frames for at in range(0, len(f), batch))
+        for part, vectors in answers(((p, p["text"].tolist()) for p in parts), embed, workers, until):
+            vectors = [None] * len(part) if vectors is None else [list(map(float, v)) for v in vectors]
+            yield pd.DataFrame({"path": part["path"].array, "chunk_id": part["chunk_id"].array, "content_hash": part["content_hash"].array, "vec": vectors})
 
     x = texts.select("path", "chunk_id", "text", F.substring(F.sha2("text", 256), 1, 24).alias("content_hash"))
     return x.mapInPandas(run, "path string, chunk_id int, content_hash string, vec array<double>")
