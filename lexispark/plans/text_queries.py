@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexispark import schema as S
 from lexispark.functions import text as T
 from lexispark.operators import summary as Y
-from lexispark.runtime import read_table, scratch
+from lexispark.runtime import read_table, scratch, spread
 from lexispark.sources import exports as X
 from lexispark.sources.connect import register_sources
 from lexispark.sources.files import read_markdown
@@ -262,7 +262,7 @@ def title_case(spark, sf_dir):
 
 def _wrapped(spark, sf_dir):
     """Learnings as an assistant returns them: JSON in prose, with brackets in strings."""
-    c = read_table(spark, sf_dir, "customer")
+    c = spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
     item = F.struct(F.lit("knowledge").alias("category"), F.col("c_name").alias("topic"), F.array(F.lit("x]"), F.lit('"y[')).alias("tags"), F.concat(F.lit("[note] \\ "), "c_name").alias("content"), F.lit("high").alias("confidence"), F.lit("create").alias("action"), F.lit("s").alias("source"))
     return c.select("c_custkey", F.concat(F.lit(" Here it is:\n```json\n"), F.to_json(F.array(item, item)), F.lit("\n``` [done]")).alias("raw"))
 

@@ -63,3 +63,21 @@ def test_auto_tags_and_symbols(spark):
     assert one(spark, T.auto_tags(F.col("t")), t="# Big Table: the big\nFast query plans work\n## Table") == ["big", "table", "fast-query", "plans-work", "query-plans"]
     go = "package x\nfunc New() {}\nfunc (u *User) Greet() {}\ntype User struct {}"
     assert [(s["name"], s["kind"]) for s in one(spark, T.symbols(F.col("t"), "go"), t=go)] == [("New", "func"), ("Greet", "method"), ("User", "type")]
+
+
+def test_json_array_folds_over_brackets_only(spark):
+    """A long text costs what its brackets cost: a fold over its characters took minutes. Strings without end, escapes and other planes too."""
+    import time
+
+    body = '["' + "x \\\" ] " * 400_000 + '", [1, "\U0001f600"], {}]'
+    cases = {body + " tail]": body, '["open ] ': '["open ] ', "[a]]": "[a]", '] ["\\\\"] x': '["\\\\"]', "[[]": "[[]", '["\U0001f600"] y': '["\U0001f600"]', "a\n[1,\n2] b": "[1,\n2]"}
+    began = time.time()
+    for text, want in cases.items():
+        assert one(spark, T.json_array(F.col("t")), t=text) == want.strip()
+    assert time.time() - began < 30
+
+
+def test_small_rows_are_spread(spark):
+    from lexispark.runtime import spread
+
+    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
