@@ -251,7 +251,7 @@ def symbols_regex(spark, sf_dir):
 def auto_tags(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     text = F.concat(F.lit("# The Beta, alpha\n\nIn mid part"), k, F.lit(" word.\n## alpha\nbeta words here\n## beta\n"))
-    return read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.array_join(T.auto_tags(text), ",").alias("tags"))
+    return spread(read_table(spark, sf_dir, "part").select("p_partkey")).select(F.col("p_partkey").alias("part"), F.array_join(T.auto_tags(text), ",").alias("tags"))
 
 
 @register("title_case", "SELECT n_nationkey AS nation, 'My BIG ' || replace(upper(lower(n_name)[1]) || lower(n_name)[2:], '_', ' ') AS title FROM nation")

@@ -77,6 +77,17 @@ def test_json_array_folds_over_brackets_only(spark):
     assert time.time() - began < 30
 
 
+def test_auto_tags_counts_each_word_once(spark):
+    """All words of all headings were computed anew for each tag, so the work grew with the square of a text's words."""
+    import time
+
+    text = "".join(f"# w{i:04d} w{i % 7:04d}\n" for i in range(1500))
+    began = time.time()
+    assert one(spark, T.auto_tags(F.col("t")), t=text) == [f"w{i:04d}" for i in range(5)]
+    assert one(spark, T.auto_tags(F.col("t")), t="") == []
+    assert time.time() - began < 20
+
+
 def test_small_rows_are_spread(spark):
     from lexispark.runtime import spread
 
