@@ -172,3 +172,12 @@ def test_stream_learn_takes_all_files(spark):
     batch = M.learn(docs, VQ.learnings_of(docs), "2026-01-01").select("path", F.array_join("tags", ",").alias("tags"), F.octet_length("content").alias("bytes"))
     got = sorted(map(tuple, VQ.stream_learn(spark, sf).collect()))
     assert got == sorted(map(tuple, batch.collect())) and len(got) == docs.count() and all(r[1].endswith(",new") for r in got)
+
+
+def test_words_of_a_path_are_counted_without_a_shuffle_of_words(spark, docs):
+    """Only texts are dealt, by path; each word's row was before. Counts by document are those of all its chunks."""
+    chunked = I.content_postings(I.chunk_table(I.by_path(docs)))
+    plan = chunked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(path#" in plan
+    by_document = chunked.groupBy("term", "path").agg(F.sum("frequency").alias("frequency"))
+    assert sorted(map(tuple, I.document_terms(docs).collect())) == sorted(map(tuple, by_document.collect()))

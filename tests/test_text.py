@@ -92,3 +92,13 @@ def test_small_rows_are_spread(spark):
     from lexispark.runtime import spread
 
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_chunks_of_a_long_paragraph(spark):
+    """The words of a paragraph were split anew for each of its chunks, so a long one took the square of its length."""
+    import time
+
+    text = " ".join(f"w{i}" for i in range(200_000))
+    began = time.time()
+    got = one(spark, F.transform(T.chunks(F.col("t")), lambda c: F.size(F.split(c, " "))), t=text)
+    assert got == [200] * 1000 and time.time() - began < 20
