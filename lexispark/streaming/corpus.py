@@ -110,16 +110,17 @@ class Corpus:
         version = (old[-1] + 1 if old else 1) if version is None else version
         if version in old:
             return {"version": version, "skipped": True}
-        chunks = I.chunk_table(docs)
-        new = I.manifest(docs, chunks)
+        docs = checkpointed(docs)  # what they come from runs once, not for each table
         if old:
-            diff = checkpointed(I.manifest_diff(self.manifest(old[-1]), new))
+            diff = checkpointed(I.manifest_diff(self.manifest(old[-1]), I.file_hashes(docs)))
             n = {r["state"]: r["count"] for r in diff.groupBy("state").count().collect()}
         else:
             diff, n = None, {}
         whole = I.rebuild_is_cheaper(n.get("dirty", 0), n.get("deleted", 0), sum(n.values()) - n.get("deleted", 0), bool(old))
-        index = I.build_index(docs) if whole else I.delta_index(self.current(), docs, diff)
+        index = I.build_index(docs, keep=True) if whole else I.delta_index(self.current(), docs, diff, keep=True)
         index.save(self.folder(version))
+        counts = self.spark.read.parquet(f"{self.folder(version)}/documents").select("path", F.col("chunk_count").alias("chunks"))
+        new = I.file_hashes(docs).join(counts, "path", "left").fillna(0, ["chunks"])
         new.write.mode("overwrite").parquet(f"{self.folder(version)}/manifest")
         return {"version": version, "rebuilt": whole, **n}
 

@@ -181,3 +181,21 @@ def test_words_of_a_path_are_counted_without_a_shuffle_of_words(spark, docs):
     assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(path#" in plan
     by_document = chunked.groupBy("term", "path").agg(F.sum("frequency").alias("frequency"))
     assert sorted(map(tuple, I.document_terms(docs).collect())) == sorted(map(tuple, by_document.collect()))
+
+
+def test_publish_computes_its_files_once(spark, tmp_path):
+    """What the files come from, as learnings, ran anew for each table of the index."""
+    from lexispark.streaming.corpus import Corpus
+
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        met.add(1)
+        return text
+
+    d = spark.createDataFrame([row(f"style/{k}.md", f"alpha beta w{k}") for k in range(10)], S.DOCS).withColumn("content", seen("content"))
+    corpus = Corpus(spark, str(tmp_path / "c"))
+    corpus.publish(d)
+    assert 10 <= met.value <= 20 and corpus.current().documents.count() == 10
+    assert {(r["path"], r["chunks"]) for r in corpus.manifest(1).collect()} == {(f"style/{k}.md", 1) for k in range(10)}
