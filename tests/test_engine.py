@@ -199,3 +199,17 @@ def test_publish_computes_its_files_once(spark, tmp_path):
     corpus.publish(d)
     assert 10 <= met.value <= 20 and corpus.current().documents.count() == 10
     assert {(r["path"], r["chunks"]) for r in corpus.manifest(1).collect()} == {(f"style/{k}.md", 1) for k in range(10)}
+
+
+def test_learn_once_for_a_file(spark):
+    """A file's only learning is no fold in Python, which failed on a file without text; both ways agree."""
+    d = spark.createDataFrame([row(f"style/{n}.md", text, tags=("t",)) for n, text in {"none": None, "same": "Has THE\tlines\n", "more": "x\n\n", "made": "y", "still": "z"}.items()], S.DOCS)
+    kind = "seq int, category string, topic string, tags array<string>, content string, confidence string, action string"
+    news = [(1, "style", "none", ["t", "u"], "One", "low", "append"), (2, "style", "same", ["u"], "　 has the\tLINES ", "low", "append"), (3, "style", "more", None, None, "low", "append"), (4, "style", "made", ["v"], "New\n", "high", "create"), (5, "goals", "fresh", [], "F", "low", "append")]
+    out = {r["path"]: (r["content"], r["tags"], r["confidence"], r["source"]) for r in M.learn(d, spark.createDataFrame(news, kind), "2026-01-01").collect()}
+    was = {r["path"]: (r["content"], r["tags"], r["confidence"], r["source"]) for r in d.collect()}
+    assert out.pop("style/none.md")[:2] == ("\n\nOne\n", ["t", "u"]) and out.pop("style/more.md")[:2] == ("x\n\n\n", ["t"])
+    assert out.pop("style/made.md") == ("\nNew\n\n", ["v"], "high", "conversation") and out.pop("goals/fresh.md") == ("\nF\n", [], "low", "conversation")
+    assert out == {p: was[p] for p in ("style/same.md", "style/still.md")}
+    twice = spark.createDataFrame([*news[1:], (6, "style", "still", [], "a", "low", "append"), (7, "style", "still", [], " A", "low", "append")], kind)
+    assert {r["path"]: r["content"] for r in M.learn(d, twice, "2026-01-01").collect()}["style/still.md"] == "z\n\na\n"
