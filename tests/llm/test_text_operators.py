@@ -211,6 +211,19 @@ def test_byte_bpe_on_long_words():
         assert np.frombuffer(coder.known[w][0], "<u4").tolist() == lib._encode_single_piece(w.encode()) and coder.known[w][1] == w.encode()
 
 
+def test_byte_bpe_around_the_length_of_short_words():
+    """Words on both sides of `SHORT` are coded as by the library, and ids are decoded text by text, empty ones too."""
+    import tiktoken
+
+    coder, rng = byte_bpe.WordCoder(public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(7)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoin ", "é中😀t") for n in [*range(1, 50), *range(byte_bpe.SHORT - 3, byte_bpe.SHORT + 4)]]
+    coder.learn(set(words))
+    ids = [coder.ids[w] for w in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [lib._encode_single_piece(w.encode()) for w in words]
+    assert coder.decoded([b"", *ids, b""]).to_pylist() == [b"", *(w.encode() for w in words), b""] and coder.decoded([]).to_pylist() == []
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
