@@ -268,6 +268,20 @@ def test_elias_fano():
         assert (at == np.searchsorted(v, q)).all() and (hit == np.isin(q, v)).all() and (e.access(np.arange(n)) == v).all()
 
 
+@pytest.mark.parametrize("bits", [1, 7, 8, 31, 56, 57, 58, 60])
+def test_elias_fano_numbers_of_any_width(tmp_path, bits):
+    """Lower bits of every width, from arrays that are mapped but plain, as shards are many and their slices dear otherwise."""
+    rng = np.random.default_rng(bits)
+    values = np.sort(rng.integers(0, 5 << bits, 5, dtype=np.uint64))
+    ngram_lm.write_level(str(tmp_path), "level", encode(values, 5 << bits))
+    arrays, _ = ngram_lm.read_level(str(tmp_path), "level")
+    assert all(type(x) is np.ndarray for x in arrays.values())
+    numbers = EliasFano(arrays)
+    assert numbers.bits in (bits, bits + 1) and numbers.access(np.arange(5)).tolist() == values.tolist()
+    at, hit = numbers.successor(np.concatenate([values, values[:-1] + np.uint64(1)]))
+    assert hit[:5].all() and at.tolist() == np.searchsorted(values, np.concatenate([values, values[:-1] + np.uint64(1)])).tolist()
+
+
 def test_language_model(spark, docs, empty):
     words = "a b c d e f g".split()
     rng = np.random.default_rng(2)
