@@ -224,6 +224,17 @@ def test_byte_bpe_around_the_length_of_short_words():
     assert coder.decoded([b"", *ids, b""]).to_pylist() == [b"", *(w.encode() for w in words), b""] and coder.decoded([]).to_pylist() == []
 
 
+def test_word_encoder_splits_at_ascii_white_space_and_asks_for_special_tokens_once(monkeypatch):
+    encoder, asked = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+    texts = [f"{chr(c)}one{chr(c)}{chr(c)}two,{chr(c)}".encode() for c in [*range(1, 33), 0x85, 0xA0, 0x2003]] + [b"", b" "]
+    spelt = packing.WordEncoder._spelt
+    monkeypatch.setattr(packing.WordEncoder, "_spelt", lambda self, x: asked.append(x) or spelt(self, x))
+    encoder([b" ".join(f"{a}{b},".encode() for a in string.ascii_lowercase for b in string.ascii_lowercase)])
+    assert len(asked) < 10  # for the text and for all new words together, not for each of 676
+    got = encoder(texts)
+    assert got == [b"".join(encoder([w])[0] for w in t.split()) for t in texts] and encoder([]) == []
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
