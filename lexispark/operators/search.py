@@ -68,7 +68,7 @@ def feedback_terms(index: Index, terms: list[str]) -> tuple[list[str], DataFrame
         return [], first
     spark = index.docs.sparkSession
     keys = F.broadcast(spark.createDataFrame([(r["path"], r["chunk_id"]) for r in top], "path string, chunk_id int"))
-    new = index.chunks.join(keys, ["path", "chunk_id"]).select(F.explode("tokens").alias("term")).select(T.stem(F.col("term")).alias("term")).filter(~F.col("term").isin(terms)).distinct()
+    new = index.texts(keys).select(F.explode("tokens").alias("term")).select(T.stem(F.col("term")).alias("term")).filter(~F.col("term").isin(terms)).distinct()
     df = term_documents(index.postings_of([r["term"] for r in new.collect()]))  # the words of three chunks
     best = df.crossJoin(F.broadcast(index.stats.select("n_docs"))).select("term", F.round(idf(F.col("n_docs"), F.col("n")), 6).alias("idf")).orderBy(F.desc("idf"), "term").limit(S.FEEDBACK_TERMS)
     return [r["term"] for r in best.collect()], first
@@ -134,7 +134,9 @@ def retrieve(index: Index, query: str, as_of: Column, limit: int = S.CONTEXT_FIL
         tags = tag_query(index.docs, T.query_keywords(query)).filter(others)
         found = rescored(tags, index.docs, as_of).join(index.docs.select("path", F.col("content").alias("text")), "path")
         return profile.unionByName(ordered(found, "path").limit(room).select("path", "score", "text"))
-    best = rescored(per_path(hits, S.CHUNKS_PER_FILE), index.docs, as_of).join(index.chunks.select("path", "chunk_id", "text"), ["path", "chunk_id"])
+    kept = rescored(per_path(hits, S.CHUNKS_PER_FILE), index.docs, as_of)
+    chunks = index.chunks if "text" in index.chunks.columns else index.texts(kept.select("path", "chunk_id"))
+    best = kept.join(chunks.select("path", "chunk_id", "text"), ["path", "chunk_id"])
     shown = F.when(F.col("chunk_id") > 0, F.concat("path", F.lit("#"), F.col("chunk_id").cast("string"))).otherwise(F.col("path"))
     return profile.unionByName(ordered(best, "path", "chunk_id").limit(room).select(shown.alias("path"), "score", "text"))
 

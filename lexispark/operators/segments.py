@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark import schema as S
-from lexispark.runtime import checkpointed, small_side
+from lexispark.runtime import BROADCAST_ROWS, checkpointed, drop_shuffles, small_side
 
 from . import index as I
 
@@ -86,6 +87,8 @@ class SegmentedCorpus:
     before leaves folders that no version names, and readers keep the version they opened. Segments of like size are merged
     four at a time, so a file is rewritten about log4(corpus / change) times; what versions no longer name goes by `vacuum`.
 
+    Postings of a new segment lie by path and are sorted by term in each file; those of a merged one lie by term.
+
     Nothing but version files reaches the driver. Chunks keep no text: it is cut anew from the docs where it is needed.
     """
 
@@ -127,9 +130,28 @@ class SegmentedCorpus:
         if rest:
             gone = buried.withColumnRenamed("path", "__path")
             old = _union(rest)
-            clean.append(old.join(gone, (old["path"] == gone["__path"]) & (old["__seq"] < gone["upto"]), "left_anti").drop("__seq"))
+            clean.append(self._live(old, gone, v, last) if name == "postings" else _unburied(old, gone))
         return _union(clean)
 
+    def _live(self, old: DataFrame, gone: DataFrame, v: Version, last: int) -> DataFrame:
+        """What `gone` (__path, upto) leaves of the postings of segments before `last`, which aren't shuffled while its hashes may be broadcast.
+
+        A row with none of these hashes lives, one with such a hash doesn't, but for paths that share a hash with another one: those meet the paths themselves.
+        """
+        if not FEW < gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            return _unburied(old, gone)
+        manifest = _union([self.spark.read.schema(TABLES["manifest"]).parquet(f"{self.root}/segments/{s['name']}/manifest").select("path") for s in v.segments if s["seq"] < last])
+        every = manifest.unionByName(gone.select(F.col("__path").alias("path")))
+        same = every.groupBy(path_key("path").alias("__key")).agg(F.min("path").alias("a"), F.max("path").alias("b")).filter("a <> b").select("__key")
+        same = small_side(checkpointed(same))
+        hashes = F.broadcast(gone.groupBy(path_key("__path").alias("__hash")).agg(F.max("upto").alias("upto")))
+        keyed = old.withColumn("__key", path_key("path"))
+        alone = keyed.join(same, "__key", "left_anti")
+        alone = alone.join(hashes, (alone["__key"] == hashes["__hash"]) & (alone["__seq"] < hashes["upto"]), "left_anti").drop("__seq", "__key")
+        if same.isEmpty():
+            return alone
+        return alone.unionByName(_unburied(keyed.join(same, "__key", "left_semi").drop("__key"), gone))
+
     def index(self, number: int | None = None) -> I.Index:
         """A version's index; its postings are read by term, its chunks have no text."""
         v = self.version(number)
@@ -153,21 +175,33 @@ class SegmentedCorpus:
 
     # ---- writing ----
 
-    def _write_segment(self, tables: dict[str, DataFrame], number: int, kind: str) -> dict:
+    def _write_segment(self, tables: dict[str, DataFrame | Callable[[str], DataFrame]], number: int, kind: str) -> dict:
+        """Tables in their order, each as it is or made of the segment's folder, where those before it lie."""
         name = f"s{number:08d}-{kind}-{uuid.uuid4().hex[:8]}"
+        folder = f"{self.root}/segments/{name}"
         for table, df in tables.items():
-            out = df.select([c.split()[0] for c in _columns(TABLES[table])])
+            out = (df(folder) if callable(df) else df).select([c.split()[0] for c in _columns(TABLES[table])])
             if table == "postings":
                 out = out.repartitionByRange("term").sortWithinPartitions("term", "path")
-            out.write.parquet(f"{self.root}/segments/{name}/{table}")
+            I.written(out, f"{folder}/{table}", "error")
+        self.files.remove(f"segments/{name}/postings.cut")
+        drop_shuffles(self.spark)
         return {"name": name, "seq": number, "bytes": self.files.bytes(f"segments/{name}")}
 
     def _segment_of(self, docs: DataFrame, number: int) -> dict:
-        """The segment of some files: chunks come once, with their tokens, and feed all tables."""
-        index = I.build_index(docs, keep=True)
-        counts = index.documents.select("path", F.col("chunk_count").alias("chunks"))
-        manifest = I.file_hashes(docs).join(counts, "path", "left").fillna(0, ["chunks"])
-        tables = {"docs": docs, "chunks": index.chunks, "documents": index.documents, "postings": index.postings, "manifest": manifest}
+        """The segment of some files: one pass over their texts writes the postings, and chunks of which the other tables are made."""
+
+        def read(folder: str, table: str) -> DataFrame:
+            return self.spark.read.schema(TABLES[table]).parquet(f"{folder}/{table}")
+
+        def manifest(folder: str) -> DataFrame:
+            counts = read(folder, "documents").select("path", F.col("chunk_count").alias("chunks"))
+            return I.file_hashes(read(folder, "docs")).join(counts, "path", "left").fillna(0, ["chunks"])
+
+        tables = {
+            "docs": docs, "chunks": lambda folder: I.write_postings(read(folder, "docs"), f"{folder}/postings"),
+            "documents": lambda folder: I.document_table(read(folder, "docs"), read(folder, "chunks")), "manifest": manifest,
+        }
         return self._write_segment(tables, number, "delta")
 
     def apply(self, changed: DataFrame, gone: DataFrame | None = None, number: int | None = None) -> dict:
@@ -264,6 +298,15 @@ class SegmentedCorpus:
         return gone
 
 
+def path_key(name: str) -> Column:
+    return F.xxhash64(name)
+
+
+def _unburied(old: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows (path, __seq) of `old` that no row (__path, upto) of `gone` with a higher number names."""
+    return old.join(gone, (old["path"] == gone["__path"]) & (old["__seq"] < gone["upto"]), "left_anti").drop("__seq")
+
+
 def _columns(schema: str) -> list[str]:
     return schema.replace("array<string>", "array").split(", ")
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexispark.operators import index as I
 from lexispark.operators.maintenance import learn
-from lexispark.runtime import checkpointed
+from lexispark.runtime import checkpointed, drop_shuffles
 
 
 def without_duplicates(events: DataFrame, key: str, ts: str, late: str = "10 minutes") -> DataFrame:
@@ -98,7 +98,7 @@ class Corpus:
         index = I.Index.load(self.spark, self.folder(version))
         earlier = [v for v in self.versions() if v < version]
         known = self.vectors(earlier[-1]) if earlier else self.spark.createDataFrame([], VECTORS)
-        texts = checkpointed(I.reusable_vectors(I.embedding_texts(index.docs, index.chunks), known))
+        texts = checkpointed(I.reusable_vectors(I.embedding_texts(index.docs, I.chunk_table(index.docs)), known))
         old = texts.filter("vec IS NOT NULL").select("path", "chunk_id", F.col("hash").alias("content_hash"), "vec")
         new = embed(texts.filter("vec IS NULL").select("path", "chunk_id", "text"))
         self.save_vectors(old.unionByName(new.filter("vec IS NOT NULL").select("path", "chunk_id", "content_hash", "vec")), version)
@@ -110,18 +110,24 @@ class Corpus:
         version = (old[-1] + 1 if old else 1) if version is None else version
         if version in old:
             return {"version": version, "skipped": True}
-        docs = checkpointed(docs)  # what they come from runs once, not for each table
+        folder, kind = self.folder(version), docs.schema
+        I.written(docs, f"{folder}/docs")  # what they come from runs once, not for each table
+        drop_shuffles(self.spark)
+        docs = self.spark.read.schema(kind).parquet(f"{folder}/docs")
         if old:
             diff = checkpointed(I.manifest_diff(self.manifest(old[-1]), I.file_hashes(docs)))
             n = {r["state"]: r["count"] for r in diff.groupBy("state").count().collect()}
         else:
             diff, n = None, {}
         whole = I.rebuild_is_cheaper(n.get("dirty", 0), n.get("deleted", 0), sum(n.values()) - n.get("deleted", 0), bool(old))
-        index = I.build_index(docs, keep=True) if whole else I.delta_index(self.current(), docs, diff, keep=True)
-        index.save(self.folder(version))
-        counts = self.spark.read.parquet(f"{self.folder(version)}/documents").select("path", F.col("chunk_count").alias("chunks"))
+        if whole:
+            I.write_index(docs, folder)
+        else:
+            I.delta_index(self.current(), docs, diff, keep=True).save(folder)
+        counts = self.spark.read.parquet(f"{folder}/documents").select("path", F.col("chunk_count").alias("chunks"))
         new = I.file_hashes(docs).join(counts, "path", "left").fillna(0, ["chunks"])
-        new.write.mode("overwrite").parquet(f"{self.folder(version)}/manifest")
+        I.written(new, f"{folder}/manifest")
+        drop_shuffles(self.spark)
         return {"version": version, "rebuilt": whole, **n}
 
 

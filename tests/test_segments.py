@@ -120,3 +120,40 @@ def test_writers_that_die_leave_the_last_version(spark, tmp_path, monkeypatch):
     corpus.apply(frame(spark, []), after.select("path"))
     assert corpus.current().docs.count() == 0 and corpus.current().stats.first()["n_docs"] == 0
     assert corpus.current().docs.filter(F.lit(True)).columns == after.columns
+
+
+def test_postings_come_from_one_pass(spark, tmp_path):
+    """Tokens were written with the chunks and postings were shuffled by term; a version's folder now holds no text but the docs."""
+    rng = random.Random(3)
+    files = [file(rng, f"style/{k}.md") for k in range(20)] + [("style/none.md", None, "high", "t", None, 0, None, None), ("style/dots.md", [], "high", "t", None, 0, None, ". ...")]
+    docs = frame(spark, files)
+    want = I.build_index(docs, keep=True)
+    assert I.write_postings(docs.limit(0), str(tmp_path / "none")).count() == spark.read.parquet(str(tmp_path / "none")).count() == 0
+    from lexispark.streaming.corpus import Corpus
+
+    corpus = Corpus(spark, str(tmp_path / "c"))
+    corpus.publish(docs)
+    got = corpus.current()
+    assert got.chunks.columns == ["path", "chunk_id", "word_count"] and not list((tmp_path / "c").rglob("*.cut"))
+    keys = spark.createDataFrame([("style/1.md", 0)], "path string, chunk_id int")
+    assert rows(got.texts(keys)) == rows(want.texts(keys)) != []
+    for name in ("chunks", "documents", "postings", "stats"):
+        assert rows(getattr(got, name)) == rows(getattr(want, name), getattr(got, name).columns), name
+
+
+def test_many_tombstones_meet_postings_by_hash(spark, tmp_path, monkeypatch):
+    """More tombstones than may be broadcast as paths shuffled all postings; paths of one hash are still told apart."""
+    from lexispark.operators import segments
+
+    rng = random.Random(4)
+    files = {f"style/{k}.md": file(rng, f"style/{k}.md") for k in range(40)}
+    corpus = SegmentedCorpus(spark, str(tmp_path / "c"))
+    corpus.publish(frame(spark, files.values()))
+    files = {p: file(rng, p) if k % 5 == 0 else f for k, (p, f) in enumerate(files.items()) if k % 7}
+    corpus.publish(frame(spark, files.values()))
+    want = rows(corpus.current().postings)
+    monkeypatch.setattr(segments, "FEW", 0)
+    assert rows(corpus.current().postings) == want
+    assert corpus.current().postings._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 0
+    monkeypatch.setattr(segments, "path_key", lambda name: F.length(name).cast("long"))
+    assert rows(corpus.current().postings) == want
