@@ -63,3 +63,17 @@ def test_copies_follow_their_representative(spark, tmp_path):
     assert len(pairs) == 45 and all(r["a"] < r["b"] for r in pairs)
     members = [r["cluster"] for r in catalog.QUERIES["dedup_components"](spark, str(tmp_path)).collect()]
     assert members.count(min(r["a"] for r in pairs)) == 10
+
+
+def test_prefixes_are_written_once_whatever_the_blocks(spark, monkeypatch):
+    """Prefixes were shuffled once for each block, of which there are more with the corpus; now a document's lies in one file."""
+    monkeypatch.setattr(cosine, "FEW", 0)
+    monkeypatch.setattr(cosine, "BLOCKS", 12)
+    left = []
+    monkeypatch.setattr(cosine.Folder, "remove", lambda self, name: left.append(self.root))
+    docs, df = some_vectors(random.Random(6), 60)
+    rows = [(p, t, df[t], w) for p, d in docs.items() for t, w in d.items()]
+    got = M.cosine_pairs(spark.createDataFrame(rows, "path string, term string, n long, w double"), 0.7).count()
+    assert got == sum(sum(w * docs[b].get(t, 0) for t, w in docs[a].items()) >= 0.7 - 1e-9 for a in docs for b in docs if a < b) > 5
+    written = spark.read.parquet(left[0])
+    assert written.count() == len(docs) and 8 < written.select("block").distinct().count() <= 12
