@@ -77,3 +77,20 @@ def test_prefixes_are_written_once_whatever_the_blocks(spark, monkeypatch):
     assert got == sum(sum(w * docs[b].get(t, 0) for t, w in docs[a].items()) >= 0.7 - 1e-9 for a in docs for b in docs if a < b) > 5
     written = spark.read.parquet(left[0])
     assert written.count() == len(docs) and 8 < written.select("block").distinct().count() <= 12
+
+
+def test_reorg_counts_documents_once(spark, tmp_path, monkeypatch):
+    """Both plans on likeness cut and counted all texts, and wrote their vectors, each for itself."""
+    spark.createDataFrame([(1, "some words", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    asked = []
+
+    def rows(docs, group=None):
+        asked.append(group is not None)
+        return spark.createDataFrame([], "path string, id long, g long, words long, keys array<long>, levels array<int>, ws array<double>")
+
+    monkeypatch.setattr(M, "document_rows", rows)
+    monkeypatch.setattr(M, "_alike", lambda *a: (spark.createDataFrame([], "path string, cluster string"), spark.createDataFrame([], "path string, pairs long, total double")))
+    monkeypatch.setattr(M, "combine_plans", lambda plan: plan)
+    catalog.QUERIES["reorg_combined"](spark, str(tmp_path))
+    assert asked == [True]
